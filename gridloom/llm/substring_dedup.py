@@ -8,13 +8,15 @@ corpus the same maximal spans are found by content-defined anchors:
 
 1. Each document gives the least of every run of `window - anchor + 1` consecutive hashes of
    `anchor` words. Two equal windows have the same least anchor.
-2. Anchors found in two documents are kept (one aggregation, one join).
+2. Anchors found in two documents of different texts are kept (one aggregation, one join). A
+   document whose whole text an earlier one has loses all it would lose by windows, and takes no
+   part in what follows.
 3. Windows whose least anchor is shared are hashed whole; the least doc_id of a hash decides
    which occurrences go. Hashes have 64 bits over 64-bit word hashes.
 4. Positions of windows that go are gathered by document (at most as many as it has words) and
    the words they cover are left out.
 
-Nothing is broadcast, no group is gathered but the positions of one document, and a passage in a
+Texts are compressed before an exchange. Nothing is broadcast, no group is gathered but the positions of one document, and a passage in a
 third of all documents is a hot key only for aggregations that combine before the exchange and
 for joins that Spark can split.
 """
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +70,27 @@ def _cover(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The column text as compressed bytes; the others stay."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        for part in slices(batch):
+            data = pa.array([None if x is None else press.compress(x.encode()) for x in part.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([data if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
+
+
+def _opened(column: pa.Array) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([None if x is None else press.decompress(x).decode() for x in column.to_pylist()], pa.string())
+
+
+def pressed(rows: DataFrame) -> DataFrame:
+    """rows with text as zstandard frames, about two fifths of its size."""
+    schema = ", ".join(f"`{c}` {'binary' if c == 'text' else t}" for c, t in rows.dtypes)
+    return rows.mapInArrow(_pressed, schema)
+
+
 def _anchor_rows(window: int, anchor: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +99,7 @@ def _anchor_rows(window: int, anchor: int):
                 at, h = anchors_of(w.hashes, w.first, window, anchor)
                 doc = np.searchsorted(w.first, at, "right") - 1
                 nth = np.arange(len(at)) - np.searchsorted(doc, doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(nth.astype(np.int32))], ["anchor", "doc_id", "nth"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(nth.astype(np.int32)), part.column(2).take(pa.array(doc))], ["anchor", "doc_id", "nth", "same"])
 
     return rows
 
@@ -83,8 +107,8 @@ def _anchor_rows(window: int, anchor: int):
 def _window_rows(window: int, anchor: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                w = words_of(part.column(1))
+            for part in slices(batch, 1 << 21):
+                w = words_of(_opened(part.column(1)))
                 at, _ = anchors_of(w.hashes, w.first, window, anchor)
                 from_ = np.searchsorted(at, w.first)
                 shared = np.zeros(len(at), bool)
@@ -110,14 +134,21 @@ def _window_rows(window: int, anchor: int):
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, starts array<int>): word positions of windows that also start in a document with a smaller doc_id."""
+    """(doc_id, starts array<int>, whole): word positions of windows that also start in a document with a smaller doc_id.
+
+    Where `whole` is true such a document has the same text, and starts may be null: every window goes.
+    """
     text = docs.select("doc_id", "text").where("doc_id is not null and length(text) >= %d" % (2 * window - 1))
-    anchors = text.mapInArrow(_anchor_rows(window, anchor), "anchor long, doc_id long, nth int")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    by_doc = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("nth").alias("nths"))
-    windows = scratch.keep(text.join(by_doc, "doc_id").select("doc_id", "text", "nths").mapInArrow(_window_rows(window, anchor), "hash long, doc_id long, start int"), "windows")
+    digests = text.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+    first = digests.groupBy("md5").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("md5", "lo")
+    copies = digests.join(first, "md5").where("doc_id > lo").select("doc_id").distinct()
+    anchors = text.withColumn("same", F.xxhash64("text")).mapInArrow(_anchor_rows(window, anchor), "anchor long, doc_id long, nth int, same long")
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("same").alias("a"), F.max("same").alias("b")).where("lo < hi and a < b").select("anchor")
+    by_doc = anchors.select("anchor", "doc_id", "nth").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("nth").alias("nths")).join(copies, "doc_id", "left_anti")
+    windows = scratch.keep(pressed(text).join(by_doc, "doc_id").select("doc_id", "text", "nths").mapInArrow(_window_rows(window, anchor), "hash long, doc_id long, start int"), "windows")
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
-    return windows.join(least, "hash").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    starts = windows.join(least, "hash").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    return starts.select("doc_id", "starts", F.lit(False).alias("whole")).union(copies.select("doc_id", F.lit(None).cast("array<int>"), F.lit(True)))
 
 
 def _kept(window: int, digest: bool, out: list[str]):
@@ -125,14 +156,14 @@ def _kept(window: int, digest: bool, out: list[str]):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                text, starts = part.column(part.schema.get_field_index("text")), part.column(part.schema.get_field_index("__starts"))
+            for part in slices(batch, 1 << 21):
+                text, starts, whole = _opened(part.column(part.schema.get_field_index("text"))), part.column(part.schema.get_field_index("__starts")), part.column(part.schema.get_field_index("__whole"))
                 words, removed, made = [], [], []
-                for raw, at in zip(text, starts, strict=True):
+                for raw, at, all_ in zip(text, starts, whole.to_pylist(), strict=True):
                     own = raw.as_py()
                     word = (own or "").encode().split()
-                    at = np.asarray(at.values if at.is_valid else [], np.int64)
                     n, kept = len(word), word
+                    at = np.arange(max(0, n - window + 1)) if all_ else np.asarray(at.values if at.is_valid else [], np.int64)
                     if len(at):
                         gone = _cover(at, n, window)
                         kept = [x for x, g in zip(word, gone.tolist(), strict=True) if not g]
@@ -146,6 +177,12 @@ def _kept(window: int, digest: bool, out: list[str]):
     return rows
 
 
+def _marked(rows: DataFrame, docs: DataFrame, scratch: Scratch, window: int, anchor: int) -> DataFrame:
+    """rows with text compressed, __starts and __whole."""
+    marks = repeated_windows(docs, scratch, window, anchor).select("doc_id", F.col("starts").alias("__starts"), F.col("whole").alias("__whole"))
+    return pressed(rows).join(marks, "doc_id", "left").select(*rows.columns, "__starts", "__whole")
+
+
 def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """docs with `text` without repeated passages, and n_words, n_removed.
 
@@ -157,13 +194,13 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anch
     n_removed of the input are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    rows = docs.select(*own).join(repeated_windows(docs, scratch, window, anchor).select("doc_id", F.col("starts").alias("__starts")), "doc_id", "left").select(*own, "__starts")
+    rows = _marked(docs.select(*own), docs, scratch, window, anchor)
     schema = docs.select(*own).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     return rows.mapInArrow(_kept(window, False, schema.names), schema)
 
 
 def digests(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of what remove_repeats() keeps."""
-    rows = docs.select("doc_id", "text").join(repeated_windows(docs, scratch, window, anchor).select("doc_id", F.col("starts").alias("__starts")), "doc_id", "left").select("doc_id", "text", "__starts")
+    rows = _marked(docs.select("doc_id", "text"), docs, scratch, window, anchor)
     return rows.mapInArrow(_kept(window, True, ["doc_id", "n_words", "n_removed", "kept_sha256"]), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
