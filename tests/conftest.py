@@ -11,7 +11,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g"}
-    session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
+    session = SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
