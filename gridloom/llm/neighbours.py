@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a forest of random-projection trees searched through one priority queue.
 
 Trees are fitted on a bounded sample and every row is put into a leaf of each tree. A query takes
-leaves from a queue shared by all trees, nearest splitting plane first, until it has visited
-`visits` of them; the rows of these leaves are ranked by the exact cosine of the original vectors.
+leaves from a queue shared by all trees, least sum of squared distances beyond splitting planes
+first, until it has visited as many as `share` says; the rows of these leaves are ranked by the exact cosine of the original vectors.
 A leaf with more rows than `part` is cut into parts that all its queries visit, so no task gathers an
 unbounded leaf, and every part returns its k best for each query, ties to the smaller id.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.scratch import Scratch
 
-TREES, LEAF, SAMPLE, PART, SHARE, DEPTH = 12, 256, 16_384, 4096, 0.7, 9
+TREES, LEAF, SAMPLE, PART, SHARE, DEPTH = 12, 128, 16_384, 4096, 1.0, 10
 
 
 class Forest:
@@ -61,13 +61,13 @@ class Forest:
         """The (tree, leaf) pairs that a query visits, in the order of the shared queue."""
         margin = self.normals @ q - self.offsets
         first, out = (1 << self.depth) - 1, []
-        queue = [(-np.inf, t, 0) for t in range(self.trees)]
+        queue = [(0.0, t, 0) for t in range(self.trees)]
         while queue and len(out) < visits:
             far, t, node = heapq.heappop(queue)
             while node < first:
                 m = float(margin[t, node])
                 near, other = (2 * node + 2, 2 * node + 1) if m > 0 else (2 * node + 1, 2 * node + 2)
-                heapq.heappush(queue, (max(far, abs(m)), t, other))
+                heapq.heappush(queue, (far + m * m, t, other))
                 node = near
             out.append((t, node - first))
         return out
@@ -109,8 +109,8 @@ def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, tre
 
     Queries are the rows where is_query holds; candidates are all rows but the query's own id.
     Vectors that are null, zero, or hold nulls, NaN or infinities take no part. Vectors of
-    different lengths are never compared: each length has a forest of its own. share is the part of all
-    leaves that a query may visit. Rows that repeat a vec_id count once if their vectors are equal, and
+    different lengths are never compared: each length has a forest of its own. A query visits `share` times as
+    many leaves as one tree has. Rows that repeat a vec_id count once if their vectors are equal, and
     as the nearer one if not. With fewer than k candidates all are returned; an empty table gives no rows.
     """
     good = rows.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).withColumn("embedding", F.col("embedding").cast("array<double>"))
