@@ -54,7 +54,7 @@ def schedule(docs: DataFrame, weights: dict[str, int], block: int = BLOCK, size:
     character at least, null and empty ones too. Sources without a weight, null among them,
     share the weight of `*` (1 unless given). Every row is kept; when a source has run
     out its slots stay vacant and the others keep their proportions. Rows are ordered by md5 of
-    doc_id (null: as empty), then doc_id and text. Columns of these names in docs are replaced.
+    doc_id (null: as empty), then doc_id and size; `size` replaces the length of text. Columns of these names in docs are replaced.
     """
     weights = {REST: 1} | weights
     slots, total = period(weights), sum(weights.values())
@@ -68,7 +68,7 @@ def schedule(docs: DataFrame, weights: dict[str, int], block: int = BLOCK, size:
     rows = docs.select(*own, _group(weights).alias("mix_source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("__key"), size.alias("__size")).withColumn("__part", F.substring("__key", 1, digits))
     parts = docs.select(_group(weights).alias("mix_source"), F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, digits).alias("__part"), size.alias("__size")).groupBy("mix_source", "__part").agg(F.sum("__size").alias("__size"))
     before = parts.withColumn("__before", F.sum("__size").over(Window.partitionBy("mix_source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select("mix_source", "__part", F.coalesce("__before", F.lit(0)).alias("__before"))
-    line = Window.partitionBy("mix_source", "__part").orderBy("__key", "doc_id", *(["text"] if "text" in own else [])).rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("mix_source", "__part").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__run", F.coalesce(F.sum("__size").over(line), F.lit(0))).join(before, ["mix_source", "__part"])
     weight = F.element_at(F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, w)]), F.col("mix_source")).cast("long")
     places = F.element_at(F.create_map(*[x for s in weights for x in (F.lit(s), F.lit(slots[s]))]), F.col("mix_source"))

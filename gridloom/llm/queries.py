@@ -51,7 +51,8 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), WEIGHTS)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.greatest(F.lit(1), F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("chars"))
+    rows = mixing.schedule(docs, WEIGHTS, size=F.col("chars"))
     return rows.select("doc_id", *[F.col(c) for c in rows.columns if c.startswith("mix_")])
 
 
@@ -114,8 +115,8 @@ def _sql3() -> str:
     slots = ", ".join(f"('{s}', {j}, {t})" for s, own in mixing.period(WEIGHTS).items() for j, t in enumerate(own))
     return f"""
 WITH slot(s, j, t) AS (VALUES {slots}), weight AS (SELECT s, count(*) AS n FROM slot GROUP BY s),
-sized AS (SELECT doc_id, CASE WHEN source IN (SELECT s FROM weight) THEN source ELSE '*' END AS s, greatest(1, coalesce(length(text), 0)) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k, text FROM documents),
-placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY s ORDER BY k, doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized),
+sized AS (SELECT doc_id, CASE WHEN source IN (SELECT s FROM weight) THEN source ELSE '*' END AS s, greatest(1, coalesce(length(text), 0)) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY s ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized),
 cut AS (SELECT doc_id, placed.s, CAST(start AS BIGINT) AS start, CAST(start AS BIGINT) // {mixing.BLOCK} AS block, n FROM placed JOIN weight ON placed.s = weight.s)
 SELECT doc_id, cut.s AS mix_source, start AS mix_start, block AS mix_block, block * {total} // n AS mix_release, ((block + 1) * {total} + n - 1) // n AS mix_deadline, (block // n) * {total} + t AS mix_slot
 FROM cut JOIN slot ON cut.s = slot.s AND j = block % n
