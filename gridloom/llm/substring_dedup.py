@@ -3,8 +3,7 @@
 The method named for this operator streams documents through broadcast suffix automata of
 reference shards. Here the reference is the corpus itself: every document would pass every
 shard, work that grows with the square of the corpus, and no broadcast has a size bound. So the
-automata serve bounded references (`SuffixAutomaton`, `remove_reference_spans`), and within a
-corpus the same maximal spans are found by content-defined anchors:
+automata serve bounded references (suffix_automaton.py), and within a corpus the same maximal spans are found by content-defined anchors:
 
 1. Each document gives the least of every run of `window - anchor + 1` consecutive hashes of
    `anchor` words. Two equal windows have the same least anchor.
