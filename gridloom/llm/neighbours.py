@@ -3,6 +3,7 @@
 Trees are fitted on a bounded sample and every row is put into a leaf of each tree. A query takes
 leaves from a queue shared by all trees, least sum of squared distances beyond splitting planes
 first, until it has visited as many as `share` says; the rows of these leaves are ranked by the exact cosine of the original vectors.
+The trees have at most 2 ** DEPTH leaves, so what a query asks for doesn't grow with the table.
 A leaf with more rows than `part` is cut into parts that all its queries visit, so no task gathers an
 unbounded leaf, and every part returns its k best for each query, ties to the smaller id.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.scratch import Scratch
 
-TREES, LEAF, SAMPLE, PART, SHARE, DEPTH = 12, 128, 16_384, 4096, 1.0, 10
+TREES, LEAF, SAMPLE, PART, SHARE, DEPTH = 12, 128, 16_384, 4096, 1.0, 6
 
 
 class Forest:
