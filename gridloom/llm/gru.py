@@ -43,6 +43,21 @@ class GatedModel:
             "vb": np.log(within / within.sum(axis=1, keepdims=True)).astype(f),
         }  # untrained, it is the smoothed unigram model
 
+    def copy(self) -> GatedModel:
+        other = GatedModel.__new__(GatedModel)
+        other.__dict__.update(self.__dict__, p={k: v.copy() for k, v in self.p.items()})
+        return other
+
+    def flat(self) -> np.ndarray:
+        """All weights end to end."""
+        return np.concatenate([v.reshape(-1) for v in self.p.values()])
+
+    def set_flat(self, weights: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = weights[at : at + v.size].reshape(v.shape).astype(v.dtype)
+            at += v.size
+
     def _step(self, x: np.ndarray, h: np.ndarray, u: np.ndarray):
         n = self.hidden
         a = h @ u

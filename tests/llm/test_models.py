@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import langid, lm_scoring, neighbours, packing, quality
 from gridloom.llm.gru import GatedModel
@@ -119,6 +120,26 @@ def test_lm_beats_the_baseline_on_held_out_documents(spark):
     assert held.score.sum() > held.base_score.sum() * 0.97
 
 
+def test_refined_weights_are_the_mean_over_tasks(spark):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 17, n).astype("<u4") for n in (40, 7, 1, 300, 25, 90)]
+    table = pa.table({"part": pa.array(range(6), pa.int32()), "ids": pa.array([t.tobytes() for t in texts], pa.binary())})
+    rows = spark.createDataFrame(table).repartition(6, "part").select("ids")
+    parts = [r.all for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("ids").alias("all")).collect()]
+    start, model = (GatedModel(np.ones(16), 1.0, 4, 4) for _ in range(2))
+    lm_scoring.refine(rows, model, Scratch(spark, "refine"), fan=2)
+    total, n = 0.0, 0
+    for own in parts:
+        one, ids = start.copy(), [np.frombuffer(x, "<u4").astype(np.int64) for x in own]
+        one.train(ids, epochs=1, rate=lm_scoring.RATE)
+        total, n = total + sum(map(len, ids)) * one.flat().astype(float), n + sum(map(len, ids))
+    assert len(parts) > 2 and np.abs(model.flat() - start.flat()).max() > 1e-4
+    assert np.abs(model.flat() - total / n).max() < 1e-3
+    before = model.flat()
+    lm_scoring.refine(rows.limit(0), model, Scratch(spark, "refine"))
+    assert (model.flat() == before).all()
+
+
 def test_gru_is_a_distribution_and_its_state_is_carried():
     rng = np.random.default_rng(0)
     model = GatedModel(rng.integers(1, 50, 12).astype(float), 9.0, classes=3, size=4, hidden=5)
