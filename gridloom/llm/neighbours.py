@@ -3,7 +3,9 @@
 Trees are fitted on a bounded sample and every row is put into a leaf of each tree. A query takes
 leaves from a queue shared by all trees, least sum of squared distances beyond splitting planes
 first, until it has visited as many as `share` says; the rows of these leaves are ranked by the exact cosine of the original vectors.
-The trees have at most 2 ** DEPTH leaves, so what a query asks for doesn't grow with the table.
+The trees have at most 2 ** levels leaves, which bounds the copies of a query but not the rows it
+scores: with `share` 1 these are, repeats included, as many as the table has, so the work is
+queries times rows. Vectors with more structure need a smaller share and more levels.
 A leaf with more rows than `part` is cut into parts that all its queries visit, so no task gathers an
 unbounded leaf, and every part returns its k best for each query, ties to the smaller id.
 """
@@ -105,7 +107,7 @@ def _best(k: int):
     return rank
 
 
-def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, share: float = SHARE, part: int = PART) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, share: float = SHARE, part: int = PART, levels: int = DEPTH) -> DataFrame:
     """The k nearest found of every query, by cosine: query_id, rank, vec_id, score.
 
     Queries are the rows where is_query holds; candidates are all rows but the query's own id.
@@ -120,7 +122,7 @@ def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, tre
     for dim, n in sorted((r[0], r[1]) for r in good.groupBy(F.size("embedding")).count().collect()):
         own = good.where(F.size("embedding") == dim)
         some = own.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n))).select("vec_id", "embedding").toArrow().sort_by("vec_id")
-        depth = max(0, min(DEPTH, int(np.floor(np.log2(max(1, n / leaf))))))
+        depth = max(0, min(levels, int(np.floor(np.log2(max(1, n / leaf))))))
         x = _unit(some.column("embedding").combine_chunks())[1] if some.num_rows else np.ones((1, dim), np.float32)
         forest = spark.sparkContext.broadcast(Forest(x, trees if depth else 1, depth))
         visits = max(1, int(np.ceil(share * (1 << depth))))
