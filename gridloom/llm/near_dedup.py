@@ -16,7 +16,7 @@
 5. Components of the verified links, by distributed star contraction, name the groups.
 
 With 32 bands of 4 a pair at 0.75 is missed with probability 5e-6. With 128 slots an estimate
-has a standard error of at most 0.038 at the threshold; the margin is three times that.
+has a standard error of at most 0.038 at the threshold; the margin is four times that.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from gridloom.llm.scratch import Scratch
 from gridloom.llm.superminhash import signatures
 from gridloom.llm.words import Words, _stream, grams, mix, slices, words_of
 
-SHINGLE, THRESHOLD, SLOTS, ROWS, MARGIN, BLOCK = 5, 75, 128, 4, 0.115, 4096
+SHINGLE, THRESHOLD, SLOTS, ROWS, MARGIN, BLOCK = 5, 75, 128, 4, 0.16, 4096
 
 
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
