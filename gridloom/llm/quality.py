@@ -1,8 +1,10 @@
 """Quality classifier by compression: which of two zstandard dictionaries shortens a text more.
 
-One dictionary is built from texts labelled good, one from texts labelled bad. The feature is
-the difference of the two compressed sizes over the length of the text; a logistic curve fitted
-on labelled texts that no dictionary has seen makes it a probability.
+One dictionary is built from texts labelled good, one from texts labelled bad. Every text is
+compressed in blocks, each with both dictionaries, as within one frame a long text would supply
+its own matches and its tail would not be judged. The feature is the difference of the two sums
+of compressed sizes over the length of the text; a logistic curve fitted on labelled texts that
+no dictionary has seen makes it a probability.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from gridloom.llm.words import slices, text_bytes
 
 #: Most labelled documents of either label that training takes, and bytes of a dictionary.
 SAMPLE, DICTIONARY, LEVEL, CUT = 2000, 96 * 1024, 3, 0.7
+#: Bytes of a text that are compressed by themselves; the last block of a text may have fewer.
+BLOCK = 4096
 
 
 class CompressionModel:
@@ -35,7 +39,7 @@ class CompressionModel:
         self._made = None
 
     def feature(self, data: bytes) -> float:
-        """Compressed size with the bad dictionary less that with the good one, over the size of the text; 0 if empty."""
+        """Compressed size of all blocks with the bad dictionary less that with the good one, over the size of the text; 0 if empty."""
         if not data:
             return 0.0
         if self._made is None:
@@ -46,7 +50,8 @@ class CompressionModel:
                     held.precompute_compress(level=self.level)
                 made.append(zstandard.ZstdCompressor(level=self.level, dict_data=held) if held is not None else zstandard.ZstdCompressor(level=self.level))
             self._made = made
-        good, bad = (len(z.compress(data)) for z in self._made)
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        good, bad = (sum(len(z.compress(b)) for b in blocks) for z in self._made)
         return (bad - good) / (len(data) + 64)
 
     def score(self, feature: np.ndarray) -> np.ndarray:

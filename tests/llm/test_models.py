@@ -93,6 +93,21 @@ def test_quality_on_held_out_documents(spark):
     assert quality.classify(docs, nothing).toPandas().score.between(0, 1).all()
 
 
+def test_quality_judges_long_texts_to_their_end(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    both = docs.join(labels.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id").where("length(text) > 200").select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
+    texts = {want: [t.encode() for i, t, q in zip(both.doc_id, both.text, both.quality, strict=True) if fold(i, 4) == 2 and q == want] for want in (0, 1)}
+    long = {want: b"\n".join(own * (1 + 500_000 // sum(map(len, own)))) for want, own in texts.items()}
+    short, whole = ([model.feature(t[:n]) for t in long.values()] for n in (30_000, None))
+    assert all(0.5 < b / a < 2 for a, b in zip(short, whole, strict=True))
+    bad, good = model.score(np.array([model.feature(long[want]) for want in (0, 1)]))
+    assert bad < quality.CUT <= good
+    block = texts[0][0][:4096]
+    block = (block * (1 + 4096 // len(block)))[:4096]
+    assert math.isclose(model.feature(block * 100), model.feature(block), rel_tol=0.02)
+
+
 def unigram(docs):
     tokens = {r.doc_id: [*[w.lower() for w in words(r.text)], None] for r in docs.collect()}
     counts = Counter(t for k, ts in tokens.items() if fold(k, 5) != 1 for t in ts)
