@@ -5,9 +5,10 @@
    The most frequent of them are the vocabulary of the recurrent model; all other words are its
    last class, within which a word has the probability of its smoothed count.
 3. The model learns by truncated backpropagation from about `SAMPLE` whole training documents.
-4. From there every task of one pass goes on learning by itself, from `REFINE` of the training
-   documents that it reads, `CHUNK` tokens at a time; the means of their weights, by tokens, are
-   the model. So what is learned grows with the corpus, and the driver gets at most `FAN` models.
+4. From there it learns from all training documents, in rounds. In a round every task goes on
+   from the model of the round before, through all the rows it reads, `CHUNK` tokens at a time;
+   the mean of their weights, by tokens, is the model. Each round has as many tokens as all
+   before it, so their number grows with the corpus; the driver gets at most `FAN` models a round.
 5. One pass scores each whole text, state carried to its end. Words beyond the head leave as
    (word, times) and meet their counts in a join; one aggregation sums up each document.
 """
@@ -15,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from gridloom.llm.words import slices, words_of
 
 #: Words whose counts are broadcast (12 bytes each); whole documents the recurrent model learns from.
 HEAD, SAMPLE, PASS = 1 << 18, 1200, 1 << 24
-#: Share of training documents that tasks go on learning from, tokens and rate of one such run, models averaged in one task.
-REFINE, CHUNK, RATE, FAN = 1 / 32, 1 << 19, 0.003, 64
+#: Least tokens of the first round, tokens and rate of one run of a task, models averaged in one task.
+ROUND, CHUNK, RATE, FAN = 1 << 22, 1 << 19, 0.003, 64
 #: The end token's key; no word has it but by a chance of 2**-64.
 END = np.uint64(0x9D5C0F1B2A3E4D67)
 
@@ -96,31 +98,24 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def refine(encoded: DataFrame, model: GatedModel, scratch: Scratch, chunk: int = CHUNK, rate: float = RATE, fan: int = FAN) -> None:
     """Goes on training `model` in every task that holds rows of encoded (ids binary), and takes the mean of their weights.
 
-    Without rows the model stays as it is. Means are formed in rounds of `fan` models a task, so
+    A task learns from all its rows, each run of `chunk` tokens from the weights of the last. Without rows the model stays as it is. Means are formed in rounds of `fan` models a task, so
     neither a task nor the driver gathers more than that; each round is kept in the shared folder.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, have, total, n = [], 0, 0.0, 0
-
-        def run():
-            own = shared.value.copy()
-            own.train(texts, epochs=1, rate=rate)
-            return have * own.flat().astype(np.float64), have
-
+        texts, have, n, own = [], 0, 0, shared.value.copy()
         for batch in batches:
             for row in batch.column(0):
                 texts.append(np.frombuffer(row.as_buffer(), "<u4").astype(np.int64))
                 have += len(texts[-1])
                 if have >= chunk:
-                    more, seen = run()
-                    texts, have, total, n = [], 0, total + more, n + seen
+                    own.train(texts, epochs=1, rate=rate)
+                    texts, have, n = [], 0, n + have
         if have:
-            more, seen = run()
-            total, n = total + more, n + seen
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["n", "p"])
+            own.train(texts, epochs=1, rate=rate)
+        if n + have:
+            yield pa.RecordBatch.from_arrays([pa.array([n + have]), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], ["n", "p"])
 
     rows, k = scratch.keep(encoded.select("ids").mapInArrow(learn, "n long, p binary"), "refined-0"), 0
     count = rows.count()
@@ -132,7 +127,7 @@ def refine(encoded: DataFrame, model: GatedModel, scratch: Scratch, chunk: int =
         model.set_flat(np.frombuffer(last[0].column(1)[0].as_buffer(), "<f4"))
 
 
-def score_documents(docs: DataFrame, scratch: Scratch, head: int = HEAD, sample: int = SAMPLE, classes: int = CLASSES, size: int = SIZE, epochs: int = 2, share: float = REFINE) -> DataFrame:
+def score_documents(docs: DataFrame, scratch: Scratch, head: int = HEAD, sample: int = SAMPLE, classes: int = CLASSES, size: int = SIZE, epochs: int = 2, first: int = ROUND) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Tokens: after lower-casing A-Z, runs of characters outside 0x20 and 0x09-0x0D, then one end.
@@ -166,8 +161,13 @@ def score_documents(docs: DataFrame, scratch: Scratch, head: int = HEAD, sample:
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < int(rate * (1 << 30))).mapInArrow(encoded, "doc_id long, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
     texts = [np.frombuffer(x, "<u4").astype(np.int64) for x in some.column("ids").to_pylist()]
     model.train([texts[i] for i in np.random.default_rng(0).permutation(len(texts))], epochs=epochs)
-    more = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    refine(more.mapInArrow(encoded, "doc_id long, ids binary"), model, scratch)
+    # a null doc_id trains too; ids are kept, so that texts are split once for all rounds
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)).alias("doc_id")
+    every = scratch.keep(training.select(place, "text").mapInArrow(encoded, "doc_id long, ids binary"), "encoded")
+    edges = [0, *(1 << max(0, 30 - k) for k in range(max(0, (n_all // first).bit_length() - 1), -1, -1))]
+    for a, b in pairwise(edges):
+        refine(every.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), model, scratch)
+    scratch.drop("encoded")
     learned = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

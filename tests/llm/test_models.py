@@ -155,6 +155,34 @@ def test_refined_weights_are_the_mean_over_tasks(spark):
     assert (model.flat() == before).all()
 
 
+def test_lm_learns_from_all_training_documents_in_rounds(spark, monkeypatch):
+    docs, real, rounds = corpus(spark, extra=[(None, "a b c", None, None, 0)]), lm_scoring.refine, []
+
+    def spy(encoded, model, *rest, **more):
+        ids, before = [r.ids for r in encoded.collect()], model.flat()
+        real(encoded, model, *rest, **more)
+        rounds.append((sum(map(len, ids)) // 4, before, model.flat()))
+
+    monkeypatch.setattr(lm_scoring, "refine", spy)
+    got = lm_scoring.score_documents(docs, Scratch(spark, "t"), classes=4, size=8, epochs=1).first()
+    assert sum(n for n, _, _ in rounds) == got.train_tokens
+    rounds.clear()
+    lm_scoring.score_documents(docs, Scratch(spark, "t"), classes=4, size=8, epochs=1, first=1000)
+    assert len(rounds) > 2 and sum(n for n, _, _ in rounds) == got.train_tokens
+    assert all((a[2] == b[1]).all() and np.abs(b[2] - b[1]).max() > 0 for a, b in zip(rounds, rounds[1:], strict=False))
+
+
+def test_a_task_goes_on_from_its_last_run(spark):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 17, 200) for _ in range(4)]
+    rows = spark.createDataFrame(pa.table({"ids": pa.array([t.astype("<u4").tobytes() for t in texts], pa.binary())})).coalesce(1)
+    one, model = (GatedModel(np.ones(16), 1.0, 4, 4) for _ in range(2))
+    lm_scoring.refine(rows, model, Scratch(spark, "refine"), chunk=200)
+    for t in texts:
+        one.train([t], epochs=1, rate=lm_scoring.RATE)
+    assert np.abs(model.flat() - one.flat()).max() < 1e-5
+
+
 def test_gru_is_a_distribution_and_its_state_is_carried():
     rng = np.random.default_rng(0)
     model = GatedModel(rng.integers(1, 50, 12).astype(float), 9.0, classes=3, size=4, hidden=5)
