@@ -38,8 +38,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences; partitions hold ranges of the mix, and so do their sequences."""
-    return packing.pack(docs)
+    """Pieces of documents in sequences, which follow the mix: each shard is a range of it, and sequence_id grows from range to range.
+
+    Files don't keep the order of rows (a reader puts them together by size), so it is made again
+    from the schedule, which depends on the rows alone. Within a shard (a partition, or its next
+    131,072 documents) sequences are in the order of packing.
+    """
+    return packing.pack(mixing.mixed(docs.select("doc_id", "text", "source"), WEIGHTS))
 
 
 STAGES = [("language_id", language), ("near_dedup", near_copies), ("substring_dedup", passages), ("mixing", mix), ("packing", pack)]

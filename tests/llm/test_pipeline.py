@@ -49,6 +49,17 @@ def test_mixed_rows_are_written_in_order(spark, stages):
     assert order == sorted(order) or len(order) == len(rows)
 
 
+def test_sequences_lie_in_ranges_of_the_mix(spark, stages):
+    folder, out = stages
+    place = {r.doc_id: (r.mix_slot, r.mix_start) for r in mixing.schedule(spark.read.parquet(f"{folder}/mixing"), queries.WEIGHTS).collect()}
+    for rows in (out[5], corpus_pipeline.run(spark, folder).collect()):
+        shards = {}
+        for r in rows:
+            shards.setdefault(r.sequence_id >> 32, []).append(place[r.doc_id])
+        ranges = [(min(own), max(own)) for _, own in sorted(shards.items())]
+        assert len(ranges) > 2 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
 def test_run_returns_the_last_stage(spark, stages):
     folder, out = stages
     got = corpus_pipeline.run(spark, folder).collect()
