@@ -17,7 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of no language (null, or without a letter) go."""
+    """Texts of no language (null, or without a letter) go, also where no row has a lang to learn from."""
     return langid.keep_identified(docs, langid.train(docs)).select(*COLUMNS)
 
 

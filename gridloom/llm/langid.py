@@ -160,10 +160,14 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """The rows of docs whose text has a language: those that identify() calls `und` go."""
+    """The rows of docs whose text has a language: those that identify() calls `und` go.
+
+    Where nothing was learned (model is None), every text that has a letter stays.
+    """
+    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     if model is None:
-        return docs.where(F.lit(False))
-    rows = docs.withColumn("__letters", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+        return docs.where(letters)
+    rows = docs.withColumn("__letters", letters)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = rows.columns.index("text")
 

@@ -69,6 +69,15 @@ def test_language_id_on_held_out_documents(spark):
     assert langid.train(empty) is None and set(langid.identify(docs, None).toPandas().lang_pred) == {"und"}
 
 
+def test_texts_with_letters_stay_where_no_language_is_given(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, None, None, 0) for i, t in enumerate(["a b", "é", "漢字 12", "12 !!", "", None])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.doc_id for r in langid.keep_identified(docs, None).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [0, 1, 2]
+
+
 def test_long_texts_are_scored_whole():
     model = langid.LanguageModel({"a": ["x"], "b": ["y"]}, [("", "a", "b", np.random.default_rng(0).normal(size=langid.BUCKETS + 1))])
     text = "".join(np.random.default_rng(1).choice(list("abc défg"), 300_000))
