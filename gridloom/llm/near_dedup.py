@@ -279,6 +279,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, p
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The rows of docs that represent their group, with the columns of docs; one of each doc_id."""
+    """The rows of docs that represent their group, with the columns of docs; one of each doc_id.
+
+    Of rows that share a doc_id the greatest stays (by the columns in their order, null being
+    least). Rows without doc_id all stay.
+    """
     gone = near_duplicates(docs, scratch, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # both tables are written, so that their size is known and a small one is broadcast
+    gone = scratch.keep(gone, "gone")
+    again = scratch.keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
+    repeated = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return once.unionByName(repeated)

@@ -76,6 +76,14 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3]
 
 
+def test_one_row_of_a_repeated_representative_stays(spark):
+    rows = [(2, "a b c d e f", "", "", 0), (2, "a b c d e f", "", "", 0), (4, "A B C D E F", "", "", 0), (5, "x y", "de", "", 0), (5, "x y", "en", "", 0), (6, None, "", "", 0), (6, "z", "", "", 0), (None, "n", "", "", 0), (None, "n", "", "", 0)]
+    for order in (rows, rows[::-1]):
+        kept = near_dedup.keep_one(spark.createDataFrame(order, SCHEMA), Scratch(spark, "t"))
+        assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert sorted((r.doc_id or 0, r.text, r.lang) for r in kept.collect()) == [(0, "n", ""), (0, "n", ""), (2, "a b c d e f", ""), (5, "x y", "en"), (6, "z", "")]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark, "t")).collect()}
