@@ -11,16 +11,20 @@ not grow with the table, at the price of the last windows of each shard.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.llm.words import slices, words_of
+from gridloom.llm.words import gathered, hash_runs, slices, words_of
 
-WINDOW, END, SHARD, CACHE = 4096, 2, 1 << 17, 300_000
+WINDOW, END, SHARD, CACHE = 4096, 2, 1 << 17, 1 << 20
+#: Bytes of text that are tokenised at a time, and most ids of a part of a word that the cache keeps.
+SLICE, LONG = 1 << 20, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<>|")
 
@@ -84,14 +88,51 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
+class IdCache:
+    """Token ids by 64-bit key: sorted keys, and where the ids of each lie in one array. About 30 bytes a word."""
+
+    def __init__(self):
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """Takes in ascending keys that it lacks."""
+        if self.used + len(flat) > len(self.flat):
+            more = np.zeros(max(2 * len(self.flat), self.used + len(flat)), "<u4")
+            more[: self.used] = self.flat[: self.used]
+            self.flat = more
+        self.flat[self.used : self.used + len(flat)] = flat
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.used += len(flat)
+
+
+#: Bytes by what they are to a word's split: a letter of ASCII, the lead byte of a Latin letter, a mark that may trail.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[ord(c) for c in _TAIL]] = True
+#: Second bytes of Latin letters below U+0100, by their lead byte.
+_SECOND = {0xC2: np.isin(np.arange(256), [0xAA, 0xB5, 0xBA]), 0xC3: (np.arange(256) >= 0x80) & (np.arange(256) < 0xC0) & ~np.isin(np.arange(256), [0x97, 0xB7])}
+
+
 class WordTokens:
-    """Token ids of texts; the tokenizer sees each new word once.
+    """Token ids of texts; the tokenizer sees each new part of a word once.
 
     White space always ends a token and is dropped, so ids of a text are those of its words one
-    after another. A word of Latin letters and trailing marks is looked up in two parts, as the
+    after another. A word of Latin letters and trailing marks has two parts, as the
     tokenizer's own splitting does, and its letters, lower-cased, go to the tokenizer's model
-    directly. Of a run of texts only distinct words are looked up. A cache that is full takes
-    no more; what it lacks is made again.
+    directly; any other word is one part. Of a run of texts only distinct words are looked up.
+    Words and parts are told apart by 64-bit hashes. A cache that is full, of `most` parts of up
+    to `LONG` ids, takes no more; what it lacks is made again.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -100,38 +141,57 @@ class WordTokens:
         self.full, self.most = Tokenizer.from_file(path), most
         self.model = Tokenizer(self.full.model)
         self.letters = _byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = IdCache()
 
-    def _ids(self, parts: list[str], tokenizer) -> list[bytes]:
+    def _made(self, parts: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
         made = [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        lens = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for x in made for i in x), "<u4", int(lens.sum())).tobytes()
-        ends = (4 * np.cumsum(lens)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if made else []
-
-    def _learn(self, words: list[bytes]) -> list[bytes]:
-        parts, letters = self.parts, self.letters
-        cores, tails = [], []
-        for w in words:
-            text = w.decode()
-            core = text.rstrip(_TAIL)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-                cores.append(core.lower())
-                tails.append(text[len(core) :])
-            else:
-                cores.append("")
-                tails.append(text)
-        new = [c for c in dict.fromkeys(cores) if c and c not in parts]
-        made = dict(zip(new, self._ids([c if c.isascii() else c.encode().decode("latin-1").translate(letters) for c in new], self.model), strict=True))
-        odd = [t for t in dict.fromkeys(tails) if t and t not in parts]
-        made_odd = dict(zip(odd, self._ids(odd, self.full), strict=True))
-        made[""] = b""
-        out = [(made.get(c) or parts.get(c, b"")) + (b"" if not t else made_odd.get(t) or parts.get(t, b"")) for c, t in zip(cores, tails, strict=True)]
-        if len(parts) < self.most:
-            parts.update(made)
-            parts.update(made_odd)
-        return out
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        return size, np.fromiter(chain.from_iterable(made), "<u4", int(size.sum()))
+
+    def _split(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower-cased bytes of words that lie end to end, and how many of them are the letters; 0 where the word is one part."""
+        first = np.cumsum(size) - size
+        after, before = np.append(data[1:], 0), np.append(0, data[:-1])
+        letter = _LETTER[data]
+        for lead, second in _SECOND.items():
+            letter |= ((data == lead) & second[after]) | ((before == lead) & second[data])
+        place = np.arange(len(data)) - np.repeat(first, size)
+        core = np.maximum.reduceat(np.where(_MARK[data], 0, place + 1), first)
+        whole = np.add.reduceat((letter & (place < np.repeat(core, size))).astype(np.int64), first) == core
+        core = np.where(whole, core, 0)
+        high = (data >= 65) & (data <= 90) | (before == 0xC3) & (data >= 0x80) & (data <= 0x9E)
+        low = np.where(high & (place < np.repeat(core, size)), data + 32, data).astype(np.uint8)
+        return low, core
+
+    def _ids(self, data: np.ndarray, size: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids and ids of parts that lie end to end; letters says which are for the model alone."""
+        keys = hash_runs(data, size)
+        keys, at, nth = np.unique(keys, return_index=True, return_inverse=True)
+        place, there = self.parts.find(keys)
+        lens = np.where(there, self.parts.size[place] if len(self.parts.keys) else 0, 0).astype(np.int64)
+        made, lack = np.zeros(0, "<u4"), np.flatnonzero(~there)
+        if len(lack):
+            raw, ends = data.tobytes(), np.cumsum(size)
+            kind = letters[at[lack]]
+            for own, tokenizer in ((lack[kind], self.model), (lack[~kind], self.full)):
+                texts = [raw[b - n : b].decode() for b, n in zip(ends[at[own]].tolist(), size[at[own]].tolist(), strict=True)]
+                if tokenizer is self.model:
+                    texts = [t if t.isascii() else t.encode().decode("latin-1").translate(self.letters) for t in texts]
+                n, ids = self._made(texts, tokenizer)
+                lens[own] = n
+                made = np.append(made, ids)
+            order = np.concatenate([lack[kind], lack[~kind]])
+            start = np.zeros(len(keys), np.int64)
+            start[order] = np.cumsum(lens[order]) - lens[order]
+        flat = np.zeros(int(lens.sum()), "<u4")
+        begin = np.cumsum(lens) - lens
+        held = np.flatnonzero(there)
+        flat[gathered(begin[held], lens[held])] = self.parts.flat[gathered(self.parts.at[place[held]], lens[held])]
+        if len(lack):
+            flat[gathered(begin[lack], lens[lack])] = made[gathered(start[lack], lens[lack])]
+            new = lack[lens[lack] <= LONG][: max(0, self.most - len(self.parts.keys))]
+            self.parts.add(keys[new], lens[new].astype(np.int32), flat[gathered(begin[new], lens[new])])
+        return lens[nth], flat[gathered(begin[nth], lens[nth])]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text begins."""
@@ -139,28 +199,65 @@ class WordTokens:
         if not len(w.hashes):
             return np.zeros(0, "<u4"), np.zeros(len(column) + 1, np.int64)
         _, at, nth = np.unique(w.hashes, return_index=True, return_inverse=True)
-        raw = w.data.tobytes()
-        words = [raw[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-        ids = list(map(self.words.get, words))
-        lack = [i for i, x in enumerate(ids) if x is None]
-        if lack:
-            learned = self._learn([words[i] for i in lack])
-            for i, x in zip(lack, learned, strict=True):
-                ids[i] = x
-            if len(self.words) < self.most:
-                self.words.update((words[i], ids[i]) for i in lack)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        lens = size[nth]
-        ends = np.cumsum(lens)
-        take = np.repeat((np.cumsum(size) - size)[nth] - (ends - lens), lens)
-        take += np.arange(len(take))
-        return flat[take], np.append(0, ends)[w.first]
+        size = (w.ends - w.starts)[at]
+        low, core = self._split(w.data[gathered(w.starts[at], size)], size)
+        both = np.stack([core, size - core], axis=1).reshape(-1)  # letters and the rest of each word
+        full = both > 0
+        lens = np.zeros(len(both), np.int64)
+        lens[full], ids = self._ids(low, both[full], np.tile([True, False], len(size))[full])
+        lens = lens.reshape(-1, 2).sum(axis=1)
+        begin = np.cumsum(lens) - lens
+        return ids[gathered(begin[nth], lens[nth])], np.append(0, np.cumsum(lens[nth]))[w.first]
 
 
 _TOKENS: dict[str, WordTokens] = {}
 
 
+def _tokens(file: str) -> WordTokens:
+    """The tokenizer of a worker, which outlives its tasks."""
+    if file not in _TOKENS:
+        _TOKENS[file] = WordTokens(file)
+    return _TOKENS[file]
+
+
+class Pieces:
+    """Pieces of documents as five columns of numbers; doc_id by itself, as it may be null."""
+
+    def __init__(self):
+        self.docs: list[pa.Array] = []
+        self.numbers = [array("q") for _ in range(4)]
+        self.held = 0
+
+    def add(self, docs: pa.Array, every: np.ndarray, first: np.ndarray, window: int, end: int) -> None:
+        """Cuts the ids every[first[i]:first[i + 1]] of each document, and the end, into windows."""
+        last, (starts, lengths, crcs, totals) = end.to_bytes(4, "little"), self.numbers
+        edge, data = (4 * first).tolist(), memoryview(every.view(np.uint8))
+        total = np.diff(first) + 1
+        for a, b, n in zip(edge[:-1], edge[1:], total.tolist(), strict=True):
+            if n <= window:
+                starts.append(0)
+                lengths.append(n)
+                crcs.append(zlib.crc32(last, zlib.crc32(data[a:b])))
+                totals.append(n)
+                continue
+            for at in range(0, n, window):
+                size = min(window, n - at)
+                crc = zlib.crc32(data[a + 4 * at : min(b, a + 4 * (at + size))])
+                starts.append(at)
+                lengths.append(size)
+                crcs.append(zlib.crc32(last, crc) if at + size == n else crc)
+                totals.append(n)
+        self.docs.append(docs.take(pa.array(np.repeat(np.arange(len(docs)), -(-total // window)))))
+        self.held += len(docs)
+
+    def packed(self, window: int, base: int) -> tuple[int, pa.RecordBatch]:
+        """The number of windows, and the pieces with their places."""
+        starts, lengths, crcs, totals = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in self.numbers)
+        where, offset, count = best_fit_decreasing(lengths, window)
+        docs = pa.concat_arrays(self.docs) if self.docs else pa.array([], pa.int64())
+        return count, pa.RecordBatch.from_arrays([docs, *map(pa.array, (starts, lengths, crcs, totals, where + base, offset))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
 def _packed(path: str | None, window: int, end: int, shard: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -168,40 +265,18 @@ def _packed(path: str | None, window: int, end: int, shard: int):
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        file = path or public_tokenizers.path("word_bpe_49k.json")
-        tokens = _TOKENS.setdefault(file, WordTokens(file))
-        last, done, context = int(end).to_bytes(4, "little"), 0, TaskContext.get()
+        tokens = _tokens(path or public_tokenizers.path("word_bpe_49k.json"))
+        done, context, pieces = 0, TaskContext.get(), Pieces()
         base = (context.partitionId() if context else 0) << 32
-        docs, starts, lengths, crcs, totals = [], [], [], [], []
-
-        def flush():
-            n = np.asarray(lengths, np.int64)
-            where, offset, count = best_fit_decreasing(n, window)
-            return count, pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *map(pa.array, (np.asarray(starts, np.int64), n, np.asarray(crcs, np.int64), np.asarray(totals, np.int64), where + (base + done), offset))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-        held = 0
         for batch in batches:
-            for part in slices(batch, 1 << 23):
-                every, first = tokens.encode(part.column(1))
-                every = memoryview(every.tobytes())
-                for doc, a, b in zip(part.column(0).to_pylist(), (4 * first[:-1]).tolist(), (4 * first[1:]).tolist(), strict=True):
-                    ids = memoryview(bytes(every[a:b]) + last)
-                    total = len(ids) // 4
-                    for at in range(0, total, window):
-                        piece = ids[4 * at : 4 * (at + window)]
-                        docs.append(doc)
-                        starts.append(at)
-                        lengths.append(len(piece) // 4)
-                        crcs.append(zlib.crc32(piece))
-                        totals.append(total)
-                    held += 1
-                if held >= shard:
-                    count, out = flush()
+            for part in slices(batch, SLICE):
+                pieces.add(part.column(0), *tokens.encode(part.column(1)), window, int(end))
+                if pieces.held >= shard:
+                    count, out = pieces.packed(window, base + done)
                     yield out
-                    done, held = done + count, 0
-                    docs, starts, lengths, crcs, totals = [], [], [], [], []
-        if docs:
-            yield flush()[1]
+                    done, pieces = done + count, Pieces()
+        if pieces.held:
+            yield pieces.packed(window, base + done)[1]
 
     return rows
 

@@ -104,6 +104,23 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data)
 
 
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of all runs, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def hash_runs(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes, as words have them, of runs of bytes (each of one byte at least) that lie end to end in data."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(data)) - np.repeat(first, sizes)
+    with np.errstate(over="ignore"):
+        value = _BYTES[False][data] * (_stream(11, int(sizes.max())) | np.uint64(1))[place]
+    return mix(np.add.reduceat(value, first) + sizes.astype(np.uint64))
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k consecutive words of one array; entry i belongs to words i..i+k-1."""
     n = len(hashes) - k + 1
