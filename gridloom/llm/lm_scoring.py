@@ -4,8 +4,9 @@
 2. The `HEAD` most frequent words go to every executor with their counts, a table of fixed size.
    The most frequent of them are the vocabulary of the recurrent model; all other words are its
    last class, within which a word has the probability of its smoothed count.
-3. The model learns by truncated backpropagation from about `SAMPLE` whole training documents.
-4. From there it learns from all training documents, in rounds. In a round every task goes on
+3. The model starts, on the driver, by truncated backpropagation over about `SAMPLE` training documents
+   of up to `MOST` bytes.
+4. From there it learns from all training documents, whole, in rounds. In a round every task goes on
    from the model of the round before, through all the rows it reads, `CHUNK` tokens at a time;
    the mean of their weights, by tokens, is the model. Each round has as many tokens as all
    before it, so their number grows with the corpus; the driver gets at most `FAN` models a round.
@@ -29,8 +30,8 @@ from gridloom.llm.sampling import held_out
 from gridloom.llm.scratch import Scratch
 from gridloom.llm.words import slices, words_of
 
-#: Words whose counts are broadcast (12 bytes each); whole documents the recurrent model learns from.
-HEAD, SAMPLE, PASS = 1 << 18, 1200, 1 << 24
+#: Words whose counts are broadcast (12 bytes each); documents the recurrent model starts from, and most bytes of one of them.
+HEAD, SAMPLE, MOST, PASS = 1 << 18, 1200, 1 << 16, 1 << 23
 #: Least tokens of the first round, tokens and rate of one run of a task, models averaged in one task.
 ROUND, CHUNK, RATE, FAN = 1 << 22, 1 << 19, 0.003, 64
 #: The end token's key; no word has it but by a chance of 2**-64.
@@ -158,7 +159,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, head: int = HEAD, sample:
 
     rows = training.select("doc_id", "text").where("doc_id is not null")
     rate = min(1.0, sample / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < int(rate * (1 << 30))).mapInArrow(encoded, "doc_id long, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+    some = rows.where(F.octet_length("text") <= MOST).where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < int(rate * (1 << 30))).mapInArrow(encoded, "doc_id long, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
     texts = [np.frombuffer(x, "<u4").astype(np.int64) for x in some.column("ids").to_pylist()]
     model.train([texts[i] for i in np.random.default_rng(0).permutation(len(texts))], epochs=epochs)
     # a null doc_id trains too; ids are kept, so that texts are split once for all rounds

@@ -192,6 +192,51 @@ def test_a_task_goes_on_from_its_last_run(spark):
     assert np.abs(model.flat() - one.flat()).max() < 1e-5
 
 
+def test_scores_equal_brute_force(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(lm_scoring, "GatedModel", lambda *a: made.append(GatedModel(*a)) or made[-1])
+    docs = corpus(spark, 60, extra=[(5000, "ABC abc aBc", None, None, 0), (7, "again", None, None, 0), (None, "a b", None, None, 0)])
+    rows = [(r.doc_id, [*[w.lower() for w in words(r.text)], b"\0end"]) for r in docs.collect()]
+    counts = Counter(t for k, ts in rows if fold(k, 5) != 1 for t in ts)
+    got = lm_scoring.score_documents(docs, Scratch(spark, "t"), classes=4, size=8, epochs=1, first=1000).collect()
+    model, key = made[0], lambda t: int(lm_scoring.END) if t == b"\0end" else int(lm_scoring.words_of(pa.array([t.decode()])).hashes[0])
+    ranked = sorted(counts, key=lambda t: (-counts[t], key(t)))
+    rank = {t: i for i, t in enumerate(ranked[:32])}
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    rest = sum(counts[t] for t in ranked[32:]) + 0.5 * (len(ranked) - 32 + 1)
+    soft = lambda x: x - math.log(np.exp(x).sum())
+
+    def score(tokens):
+        h, total, before = np.zeros(model.hidden), 0.0, 33
+        for t in tokens:
+            x, a = p["e"][before] @ p["w"] + p["b"], h @ p["u"]
+            z, r = (1 / (1 + np.exp(-(x + a)[i * model.hidden : (i + 1) * model.hidden])) for i in (0, 1))
+            g = np.tanh(x[2 * model.hidden :] + r * a[2 * model.hidden :])
+            h = (1 - z) * g + z * h
+            now = rank.get(t, 32)
+            total += soft(h @ p["c"] + p["cb"])[now // 8]
+            total += soft(p["v"][now // 8] @ h + p["vb"][now // 8])[now % 8] if now < 32 else math.log((counts[t] + 0.5) / rest)
+            before = now
+        return total / math.log(10)
+
+    want, seen = sorted((k or -1, len(ts), score(ts)) for k, ts in rows), sorted((r.doc_id or -1, r.n_tokens, r.score) for r in got)
+    assert len(want) == len(seen) and len(rank) == 32
+    for a, b in zip(want, seen, strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=2e-4, abs_tol=1e-3)
+
+
+@pytest.mark.parametrize("n", [1, 50, 129, 1000, 4099])
+def test_every_token_is_learned_from(monkeypatch, n):
+    rng, seen, real = np.random.default_rng(n), [], GatedModel._window
+    texts = [rng.integers(0, 17, k) for k in np.diff([0, *sorted(rng.integers(0, n + 1, 5)), n])]
+    monkeypatch.setattr(GatedModel, "_window", lambda self, ids, target, *rest: seen.append(target[target >= 0]) or real(self, ids, target, *rest))
+    model = GatedModel(np.ones(16), 1.0, 4, 4)
+    loss = model.train(texts, epochs=1)
+    seen = np.concatenate(seen)
+    assert len(seen) == n and (np.bincount(seen, minlength=17) == np.bincount(np.concatenate(texts), minlength=17)).all()
+    assert math.isfinite(loss[0])
+
+
 def test_gru_is_a_distribution_and_its_state_is_carried():
     rng = np.random.default_rng(0)
     model = GatedModel(rng.integers(1, 50, 12).astype(float), 9.0, classes=3, size=4, hidden=5)
