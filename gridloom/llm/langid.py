@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.sampling import bounded, held_out
-from gridloom.llm.words import _LOWER, slices, text_bytes
+from gridloom.llm.words import _LOWER, released, slices, text_bytes
 
 BUCKETS = 1 << 12
 #: Most labelled documents of a language that training takes; the features are of their whole texts.
@@ -111,7 +111,7 @@ class LanguageModel:
 def train(docs: DataFrame, sample: int = SAMPLE, families: dict[str, str] | None = None) -> LanguageModel | None:
     """Learns from text and lang of rows that are not held out and have both; None if there are none."""
     rows = docs.where(~held_out(3, 1) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    got = bounded(rows, "lang", sample).select("lang", "text").mapInArrow(_features, "lang string, at binary, value binary").toArrow()
+    got = bounded(rows, "lang", sample).select("lang", "text").mapInArrow(released(_features), "lang string, at binary, value binary").toArrow()
     if not got.num_rows:
         return None
     order = np.lexsort((np.array([hashlib.md5(v.as_py()).hexdigest() for v in got.column("value")]), np.array(got.column("lang").to_pylist())))  # training sees rows in one order
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 value = np.where(letters & bool(shared.value), value, 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(value.astype(float))], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(released(score), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -179,4 +179,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 ok = pa.array([p != UNDETERMINED and bool(x) for p, x in zip(lang, letters.to_pylist(), strict=True)])
                 yield part.select(range(part.num_columns - 1)).filter(ok)
 
-    return rows.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(released(keep), docs.schema)

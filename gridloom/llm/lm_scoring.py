@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.gru import CLASSES, SIZE, GatedModel
 from gridloom.llm.sampling import held_out
 from gridloom.llm.scratch import Scratch
-from gridloom.llm.words import slices, words_of
+from gridloom.llm.words import released, slices, words_of
 
 #: Words whose counts are broadcast (12 bytes each); documents the recurrent model starts from, and most bytes of one of them.
 HEAD, SAMPLE, MOST, PASS = 1 << 18, 1200, 1 << 16, 1 << 23
@@ -118,11 +118,11 @@ def refine(encoded: DataFrame, model: GatedModel, scratch: Scratch, chunk: int =
         if n + have:
             yield pa.RecordBatch.from_arrays([pa.array([n + have]), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], ["n", "p"])
 
-    rows, k = scratch.keep(encoded.select("ids").mapInArrow(learn, "n long, p binary"), "refined-0"), 0
+    rows, k = scratch.keep(encoded.select("ids").mapInArrow(released(learn), "n long, p binary"), "refined-0"), 0
     count = rows.count()
     while count > fan:
         k, count = k + 1, -(-count // fan)
-        rows = scratch.keep(rows.repartition(count).mapInArrow(_mean, "n long, p binary"), f"refined-{k}")
+        rows = scratch.keep(rows.repartition(count).mapInArrow(released(_mean), "n long, p binary"), f"refined-{k}")
     last = list(_mean(iter(rows.orderBy("n", "p").toArrow().to_batches())))
     if last:
         model.set_flat(np.frombuffer(last[0].column(1)[0].as_buffer(), "<f4"))
@@ -140,7 +140,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, head: int = HEAD, sample:
     """
     spark, known = docs.sparkSession, classes * size
     training = docs.where(~held_out(5, 1))
-    counts = scratch.keep(training.select("text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch.keep(training.select("text").mapInArrow(released(_counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
     table = WordTable(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy())
@@ -159,12 +159,12 @@ def score_documents(docs: DataFrame, scratch: Scratch, head: int = HEAD, sample:
 
     rows = training.select("doc_id", "text").where("doc_id is not null")
     rate = min(1.0, sample / max(1, rows.count()))
-    some = rows.where(F.octet_length("text") <= MOST).where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < int(rate * (1 << 30))).mapInArrow(encoded, "doc_id long, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+    some = rows.where(F.octet_length("text") <= MOST).where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < int(rate * (1 << 30))).mapInArrow(released(encoded), "doc_id long, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
     texts = [np.frombuffer(x, "<u4").astype(np.int64) for x in some.column("ids").to_pylist()]
     model.train([texts[i] for i in np.random.default_rng(0).permutation(len(texts))], epochs=epochs)
     # a null doc_id trains too; ids are kept, so that texts are split once for all rounds
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)).alias("doc_id")
-    every = scratch.keep(training.select(place, "text").mapInArrow(encoded, "doc_id long, ids binary"), "encoded")
+    every = scratch.keep(training.select(place, "text").mapInArrow(released(encoded), "doc_id long, ids binary"), "encoded")
     edges = [0, *(1 << max(0, 30 - k) for k in range(max(0, (n_all // first).bit_length() - 1), -1, -1))]
     for a, b in pairwise(edges):
         refine(every.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), model, scratch)
@@ -196,7 +196,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, head: int = HEAD, sample:
                     yield pa.RecordBatch.from_arrays([pa.array(rows[pair.o]), nulls, pa.nulls(len(pair), pa.bool_()), pa.array(pair.k.view(np.int64)), pa.array(times), nulls, nulls, pa.nulls(len(pair), pa.float64()), pa.nulls(len(pair), pa.float64())], names)
                 seen += n
 
-    parts = docs.select("doc_id", held_out(5, 1).alias("held_out"), "text").mapInArrow(scored, "row long, doc_id long, held_out boolean, word long, times long, n_tokens long, n_known long, base double, score double")
+    parts = docs.select("doc_id", held_out(5, 1).alias("held_out"), "text").mapInArrow(released(scored), "row long, doc_id long, held_out boolean, word long, times long, n_tokens long, n_known long, base double, score double")
     # rows of documents carry no word; a key of their own keeps them from meeting in one task
     parts = parts.withColumn("key", F.coalesce("word", F.xxhash64("row")))
     met = parts.join(counts.select(F.col("word").alias("key"), "n"), "key", "left").withColumn("n", F.when(F.col("word").isNotNull(), F.coalesce("n", F.lit(0))))

@@ -1,18 +1,20 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on full sets, union-find.
 
 1. One pass over the texts gives each document the size of its shingle set, a 128-bit class of
-   the set and a SuperMinHash signature. Equal sets are one class, represented by its least
-   doc_id; copies are never compared or paired.
-2. Banding: classes that share a band meet in a bucket. A pass over rows sorted by band key drops
+   the set and a SuperMinHash signature. Equal sets are one class, which has a number of its own;
+   copies are never compared or paired, and rows of one doc_id with different sets are different classes.
+2. Banding: classes that share a band meet in a bucket. One aggregation counts buckets and drops
    what is alone; the rest get their signatures. In a bucket, union-find over estimated
    similarities of `margin` below the threshold or more gives a spanning forest: at most one
-   edge a member, never all pairs.
+   edge a member, never all pairs. A bucket of more than `bucket` classes never meets in a task:
+   its members are joined to its least one, without an estimate.
 3. The components of these edges are candidate clusters: every link that banding finds lies in
-   one. Their members' full sets are made again from the texts and gathered by cluster. A
-   cluster beyond `block` members is cut into blocks, and every two blocks meet in a task of
-   their own, so no task holds more than two.
-4. In a task, pairs whose estimate is in reach are confirmed on the full sets; pairs that
-   verified links connect already are skipped. The links kept are a spanning forest of all links.
+   one. Their members' full sets are made again from the texts. A cluster is cut into blocks of at most about
+   `block` sets and `room` bytes, and pairs within a block are confirmed on the full sets, where
+   their estimate is in reach and verified links don't connect them already.
+4. Clusters of more than one block go on: one member of each group found so far is held against the
+   others; then those still outside the largest group of their cluster are held against every block. So a set is
+   copied as often as there are blocks of outsiders, not of members.
 5. Components of the verified links, by distributed star contraction, name the groups.
 
 With 32 bands of 4 a pair at 0.75 is missed with probability 5e-6. With 128 slots an estimate
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.graph import components
 from gridloom.llm.scratch import Scratch
 from gridloom.llm.superminhash import signatures
-from gridloom.llm.words import Words, _stream, grams, mix, slices, words_of
+from gridloom.llm.words import Words, _stream, grams, mix, released, slices, words_of
 
-SHINGLE, THRESHOLD, SLOTS, ROWS, MARGIN, BLOCK = 5, 75, 128, 4, 0.16, 4096
+SHINGLE, THRESHOLD, SLOTS, ROWS, MARGIN, BLOCK, ROOM, BUCKET = 5, 75, 128, 4, 0.16, 4096, 1 << 25, 1024
 
 
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +79,7 @@ def _signed(k: int, slots: int):
                 c1, c2 = _class_of(sets, first)
                 sig = signatures(sets, first, slots).astype("<u2")
                 data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * slots), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(c1), pa.array(c2), data], ["doc_id", "n_shingles", "c1", "c2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(first)), pa.array(c1), pa.array(c2), data], ["doc_id", "text_key", "n_shingles", "c1", "c2", "sig"])
 
     return rows
 
@@ -108,25 +110,6 @@ def _banded(slots: int, rows: int):
     return out
 
 
-def _not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key another row has."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, cid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if held is not None:
-            key, cid = np.append(held[0], key), np.append(held[1], cid)
-        same = key[1:] == key[:-1]
-        keep = np.append(False, same) | np.append(same, False)
-        if held is not None:
-            keep[0] |= held[2]
-        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep[:-1]]), pa.array(cid[:-1][keep[:-1]])], ["key", "cid"])
-        held = key[-1:], cid[-1:], bool(keep[-1])
-    if held is not None and held[2]:
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["key", "cid"])
-
-
 class UnionFind:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -210,25 +193,37 @@ def _bucketed(slots: int, least: int):
 
 
 def _full_sets(k: int):
+    """Full sets (cid, set) of rows (cid, c1, c2, text) whose text has the class that is asked for."""
+
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1 << 20):
-                sets, first = shingle_sets(words_of(part.column(part.schema.get_field_index("text")), True), k)
-                data = pa.array([sets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), data], ["cid", "cluster", "block", "set"])
+                sets, first = shingle_sets(words_of(part.column(3), True), k)
+                c1, c2 = _class_of(sets, first)
+                own = np.flatnonzero((c1 == part.column(1).to_numpy()) & (c2 == part.column(2).to_numpy()))
+                data = pa.array([sets[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), data], ["cid", "set"])
 
     return out
 
 
 def _linked(slots: int, least: int, percent: int):
+    """Links (u, v) that verified pairs add to those known by `label`, in a group of rows (cid, side, label, set).
+
+    Within one side every two rows are a pair; of two sides, a row of either.
+    """
+
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "cid"], ignore_index=True)
+        pdf = pdf.sort_values(["side", "cid"], ignore_index=True)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
         first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
         sig = np.concatenate([signatures(np.concatenate(sets[i : i + 512]), first[i : i + 513] - first[i], slots) for i in range(0, len(sets), 512)]).astype("<u2")
-        cid, side = pdf["cid"].to_numpy(), pdf["block"].to_numpy()
+        cid, side = pdf["cid"].to_numpy(), pdf["side"].to_numpy()
         cross = int(np.searchsorted(side, side[-1])) if side[0] != side[-1] else 0
         uf, edges = UnionFind(len(sets)), []
+        _, again, known = np.unique(pdf["label"].to_numpy(), return_index=True, return_inverse=True)
+        for x, y in enumerate(again[known].tolist()):
+            uf.join(x, y)
         for x in range(max(1, cross), len(sets)):
             agree = (sig[: cross or x] == sig[x]).sum(axis=1)
             near = np.flatnonzero(agree >= least)
@@ -244,51 +239,105 @@ def _linked(slots: int, least: int, percent: int):
     return links
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, percent: int = THRESHOLD, slots: int = SLOTS, rows: int = ROWS, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+def _candidates(classes: DataFrame, scratch: Scratch, slots: int, rows: int, least: int, bucket: int) -> DataFrame:
+    """(cid, cluster): candidate clusters of classes (cid, sig)."""
+    bands = classes.select("cid", "sig").mapInArrow(released(_banded(slots, rows)), "key long, cid long")
+    met = scratch.keep(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("n > 1"), "buckets")
+    two = met.where("n = 2").select("key", F.explode(F.array("a", "b")).alias("cid"))
+    some = bands.join(met.where((F.col("n") > 2) & (F.col("n") <= bucket)).select("key"), "key").select("key", "cid")
+    near = two.union(some).join(classes.select("cid", "sig"), "cid").select("key", "cid", "sig").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(released(_bucketed(slots, least)), "u long, v long")
+    hot = bands.join(met.where(F.col("n") > bucket).select("key", "a"), "key").where("cid <> a").select(F.col("a").alias("u"), F.col("cid").alias("v"))
+    return scratch.keep(components(near.union(hot), scratch, "candidates").withColumnsRenamed({"node": "cid", "component": "cluster"}), "clusters")
+
+
+def _cut(rows: DataFrame, block: int, room: int, name: str) -> DataFrame:
+    """rows (cluster, cid, n_shingles) with `name`: the number of the cluster's part in which a class lies, by a hash."""
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") * 8 / room)).cast("int").alias("__parts"))
+    placed = rows.join(sizes.where("__parts > 1"), "cluster", "left")
+    return placed.withColumn(name, F.coalesce(F.pmod(F.xxhash64("cid", F.lit(name)), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch: Scratch, shingle: int, link, block: int, room: int) -> DataFrame:
+    """Links (u, v) between classes of one cluster; they connect what all links of a cluster would."""
+    members = clusters.join(classes.select("cid", "doc", "c1", "c2", "n_shingles"), "cid")
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null")
+    sets = members.select("cid", "doc", "c1", "c2").join(texts, "doc").select("cid", "c1", "c2", "text").mapInArrow(released(_full_sets(shingle)), "cid long, set binary").dropDuplicates(["cid"])
+    members = scratch.keep(_cut(members.select("cluster", "cid", "n_shingles"), block, room, "block"), "members")
+    of = lambda rows: rows.groupBy("cluster", "meeting").applyInPandas(link, "u long, v long")
+    large = members.where("block > 0").select("cluster").distinct()
+    if large.isEmpty():
+        return of(members.join(sets, "cid").select("cluster", F.col("block").alias("meeting"), "cid", F.lit(0).alias("side"), F.col("cid").alias("label"), "set"))
+    sets = scratch.keep(sets, "sets")
+    edges = scratch.keep(of(members.join(sets, "cid").select("cluster", F.col("block").alias("meeting"), "cid", F.lit(0).alias("side"), F.col("cid").alias("label"), "set")), "links-0")
+    members = members.join(large, "cluster", "left_semi")
+
+    def labelled(name: str) -> DataFrame:
+        found = components(edges, scratch, name).withColumnsRenamed({"node": "cid", "component": "label"})
+        return scratch.keep(members.join(found, "cid", "left").withColumn("label", F.coalesce("label", "cid")), f"{name}-labels")
+
+    heads = _cut(labelled("blocks").where("cid = label").select("cluster", "cid", "n_shingles"), block, room, "meeting")
+    edges = scratch.keep(edges.union(of(heads.join(sets, "cid").select("cluster", "meeting", "cid", F.lit(0).alias("side"), F.col("cid").alias("label"), "set"))), "links-1")
+    rows = labelled("heads")
+    main = rows.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    outside = _cut(rows.join(main, "cluster").where("label <> main").select("cluster", "cid", "n_shingles", "label"), block, room, "chunk").select("cluster", "cid", "label", "chunk")
+    chunks = outside.groupBy("cluster").agg(F.max("chunk").alias("last"))
+    blocks = members.groupBy("cluster").agg(F.max("block").alias("last"))
+    name = F.concat_ws("-", "block", "chunk").alias("meeting")
+    left = rows.join(chunks, "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0), "last"))).select("cluster", name, "cid", F.lit(0).alias("side"), "label")
+    right = outside.join(blocks, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), "last"))).select("cluster", name, "cid", F.lit(1).alias("side"), "label")
+    return edges.union(of(left.union(right).join(sets, "cid").select("cluster", "meeting", "cid", "side", "label", "set")))
+
+
+def _grouped(docs: DataFrame, scratch: Scratch, shingle: int, percent: int, slots: int, rows: int, margin: float, block: int, room: int, bucket: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, label (a number of the group, null without words), component_id of each row."""
+    least = int(np.ceil((percent / 100 - margin) * slots))
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    signed = scratch.keep(own.mapInArrow(released(_signed(shingle, slots)), "doc_id long, text_key long, n_shingles long, c1 long, c2 long, sig binary"), "signed")
+    full = signed.where("doc_id is not null and n_shingles > 0")
+    # a class's number depends on how rows were dealt, and its group's name doesn't; it is written, so that it is given once
+    classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    clusters = _candidates(classes, scratch, slots, rows, least, bucket)
+    verified = _verified(docs, classes, clusters, scratch, shingle, _linked(slots, least, percent), block, room)
+    groups = components(verified, scratch, "verified").withColumnsRenamed({"node": "cid", "component": "label"})
+    groups = groups.join(classes.select("cid", "doc"), "cid")
+    groups = groups.join(groups.groupBy("label").agg(F.min("doc").alias("group")), "label").select("cid", "label", "group")
+    named = classes.select("c1", "c2", "cid", "doc").join(groups, "cid", "left").select("c1", "c2", F.coalesce("label", "cid").alias("label"), F.coalesce("group", "doc").alias("group"))
+    out = signed.drop("sig").join(named, ["c1", "c2"], "left")
+    real = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return out.select("doc_id", "text_key", "n_shingles", F.when(real, F.col("label")).alias("label"), F.when(real, F.col("group")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, percent: int = THRESHOLD, slots: int = SLOTS, rows: int = ROWS, margin: float = MARGIN, block: int = BLOCK, room: int = ROOM, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     Words are runs of characters outside 0x20 and 0x09-0x0D after lower-casing A-Z; a text of
-    fewer words than a shingle has one shingle, all of it. Documents whose sets overlap in
+    fewer words than a shingle has one shingle, all of it. Texts whose sets overlap in
     `percent` of their union or more are linked; component_id is the least doc_id reachable.
     Texts that are null or without words have no shingles and are linked with nothing. Rows
-    without doc_id have no component and are kept. Rows that share a doc_id are one node and
-    all returned. An empty table gives an empty one.
+    without doc_id have no component and are kept. Rows that share a doc_id are linked if their texts are, each
+    has the component of its own text, and all are returned. An empty table gives an empty one.
     """
-    least = int(np.ceil((percent / 100 - margin) * slots))
-    signed = scratch.keep(docs.select("doc_id", "text").mapInArrow(_signed(shingle, slots), "doc_id long, n_shingles long, c1 long, c2 long, sig binary"), "signed")
-    full = signed.where("doc_id is not null and n_shingles > 0")
-    classes = scratch.keep(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig")), "classes")
-    bands = classes.select("cid", "sig").mapInArrow(_banded(slots, rows), "key long, cid long")
-    met = bands.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_not_alone, "key long, cid long")
-    near = met.join(classes.select("cid", "sig"), "cid").select("key", "cid", "sig").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_bucketed(slots, least), "u long, v long")
-    clusters = scratch.keep(components(near, scratch, "candidates").withColumnsRenamed({"node": "cid", "component": "cluster"}), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    large = sizes.where(F.col("size") > block).select("cluster", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    placed = clusters.join(large, "cluster", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
-    # a row for every block that its own block meets; one row where there is one block
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).withColumn("meeting", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")))
-    texts = docs.select(F.col("doc_id").alias("cid"), "text").where("cid is not null")
-    once = clusters.join(texts, "cid").select("cid", "cluster", F.lit(0).alias("block"), "text").mapInArrow(_full_sets(shingle), "cid long, cluster long, block int, set binary").dropDuplicates(["cid"])
-    members = placed.join(once.select("cid", "set"), "cid").select("cluster", "meeting", "cid", "block", "set")
-    verified = members.groupBy("cluster", "meeting").applyInPandas(_linked(slots, least, percent), "u long, v long")
-    groups = components(verified, scratch, "verified").withColumnRenamed("node", "cid")
-    named = classes.select("c1", "c2", "cid").join(groups, "cid", "left").select("c1", "c2", F.coalesce("component", "cid").alias("group"))
-    out = signed.drop("sig").join(named, ["c1", "c2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("group")).otherwise(F.col("doc_id")))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    out = _grouped(docs, scratch, shingle, percent, slots, rows, margin, block, room, bucket)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The rows of docs that represent their group, with the columns of docs; one of each doc_id.
+def keep_one(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, percent: int = THRESHOLD, slots: int = SLOTS, rows: int = ROWS, margin: float = MARGIN, block: int = BLOCK, room: int = ROOM, bucket: int = BUCKET) -> DataFrame:
+    """The rows of docs that represent their group, with the columns of docs: one row of each group, that with its least doc_id.
 
-    Of rows that share a doc_id the greatest stays (by the columns in their order, null being
-    least). Rows without doc_id all stay.
+    Of rows of a group that share this doc_id the greatest stays (by the columns in their order, null
+    being least), so rows of one doc_id with different texts all stay, each for its own group. A
+    row without words stays if no other of its doc_id does, of several the greatest. Rows without doc_id all stay.
     """
-    gone = near_duplicates(docs, scratch, **options).where("not kept").select("doc_id").distinct()
-    # both tables are written, so that their size is known and a small one is broadcast
-    gone = scratch.keep(gone, "gone")
-    again = scratch.keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    decided = scratch.keep(_grouped(docs, scratch, shingle, percent, slots, rows, margin, block, room, bucket).where("doc_id is not null"), "decided")
+    # these tables are written, so that their size is known and a small one is broadcast
+    gone = scratch.keep(decided.where("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone")
+    again = scratch.keep(decided.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    left = keyed.join(gone.select("doc_id", F.col("text_key").alias("__key")), ["doc_id", "__key"], "left_anti")
     once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
-    repeated = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return once.unionByName(repeated)
+    labels = decided.join(again, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id", "text_key").agg(F.max("label").alias("__label")).withColumnRenamed("text_key", "__key")
+    most = left.join(again, "doc_id", "left_semi").join(labels, ["doc_id", "__key"]).groupBy("doc_id", "__label").agg(F.max(F.struct(*docs.columns)).alias("row"))
+    worded = labels.where("__label is not null").select("doc_id").distinct()
+    bare = most.where("__label is null").join(worded, "doc_id", "left_anti")
+    return once.unionByName(most.where("__label is not null").select("row.*")).unionByName(bare.select("row.*"))

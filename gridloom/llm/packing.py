@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.llm.words import gathered, hash_runs, slices, words_of
+from gridloom.llm.words import gathered, hash_runs, released, slices, words_of
 
 WINDOW, END, SHARD, CACHE = 4096, 2, 1 << 17, 1 << 20
 #: Bytes of text that are tokenised at a time, and most ids of a part of a word that the cache keeps.
@@ -289,4 +289,4 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
     pieces of a sequence follow each other from offset 0 without a gap. Rows that repeat a
     doc_id, or have none, are packed each by itself; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_packed(path, window, end, shard), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(released(_packed(path, window, end, shard)), SCHEMA)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.sampling import bounded, held_out
-from gridloom.llm.words import slices, text_bytes
+from gridloom.llm.words import released, slices, text_bytes
 
 #: Most labelled documents of either label that training takes, and bytes of a dictionary.
 SAMPLE, DICTIONARY, LEVEL, CUT = 2000, 96 * 1024, 3, 0.7
@@ -130,4 +130,4 @@ def classify(docs: DataFrame, model: CompressionModel, cut: float = CUT) -> Data
                 score = shared.value.score(feature)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out(4, 2).alias("held_out"), "text").mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out(4, 2).alias("held_out"), "text").mapInArrow(released(rows), "doc_id long, held_out boolean, score double, predicted int")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.scratch import Scratch
-from gridloom.llm.words import grams, slices, words_of
+from gridloom.llm.words import grams, released, slices, words_of
 
 WINDOW = 50
 ANCHOR = 12
@@ -87,7 +87,7 @@ def _opened(column: pa.Array) -> pa.Array:
 def pressed(rows: DataFrame) -> DataFrame:
     """rows with text as zstandard frames, about two fifths of its size."""
     schema = ", ".join(f"`{c}` {'binary' if c == 'text' else t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(_pressed, schema)
+    return rows.mapInArrow(released(_pressed), schema)
 
 
 def _anchor_rows(window: int, anchor: int):
@@ -141,10 +141,10 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, an
     digests = text.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
     first = digests.groupBy("md5").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("md5", "lo")
     copies = digests.join(first, "md5").where("doc_id > lo").select("doc_id").distinct()
-    anchors = text.withColumn("same", F.xxhash64("text")).mapInArrow(_anchor_rows(window, anchor), "anchor long, doc_id long, nth int, same long")
+    anchors = text.withColumn("same", F.xxhash64("text")).mapInArrow(released(_anchor_rows(window, anchor)), "anchor long, doc_id long, nth int, same long")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("same").alias("a"), F.max("same").alias("b")).where("lo < hi and a < b").select("anchor")
     by_doc = anchors.select("anchor", "doc_id", "nth").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("nth").alias("nths")).join(copies, "doc_id", "left_anti")
-    windows = scratch.keep(pressed(text).join(by_doc, "doc_id").select("doc_id", "text", "nths").mapInArrow(_window_rows(window, anchor), "hash long, doc_id long, start int"), "windows")
+    windows = scratch.keep(pressed(text).join(by_doc, "doc_id").select("doc_id", "text", "nths").mapInArrow(released(_window_rows(window, anchor)), "hash long, doc_id long, start int"), "windows")
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
     starts = windows.join(least, "hash").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     return starts.select("doc_id", "starts", F.lit(False).alias("whole")).union(copies.select("doc_id", F.lit(None).cast("array<int>"), F.lit(True)))
@@ -195,11 +195,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anch
     own = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     rows = _marked(docs.select(*own), docs, scratch, window, anchor)
     schema = docs.select(*own).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
-    return rows.mapInArrow(_kept(window, False, schema.names), schema)
+    return rows.mapInArrow(released(_kept(window, False, schema.names)), schema)
 
 
 def digests(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of what remove_repeats() keeps."""
     rows = _marked(docs.select("doc_id", "text"), docs, scratch, window, anchor)
-    return rows.mapInArrow(_kept(window, True, ["doc_id", "n_words", "n_removed", "kept_sha256"]), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(released(_kept(window, True, ["doc_id", "n_words", "n_removed", "kept_sha256"])), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -56,11 +57,11 @@ def grouped(rows):
     return {k: (len(sets[k]), ids[uf.find(i)]) for i, k in enumerate(ids)}
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_near_duplicates_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "room", "bucket"), [(4096, 1 << 25, 1024), (3, 1 << 25, 1024), (4096, 4000, 2)])
+def test_near_duplicates_equal_brute_force(spark, block, room, bucket):
     docs = corpus(spark, 150)
     want = grouped(docs.collect())
-    got = near_dedup.near_duplicates(clashing(docs), Scratch(spark, "t"), block=block).collect()
+    got = near_dedup.near_duplicates(clashing(docs), Scratch(spark, "t"), block=block, room=room, bucket=bucket).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(want)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert len({c for _, c in want.values()}) < len(want) - 20
@@ -76,6 +77,32 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3]
 
 
+def test_a_large_cluster_of_loose_links_is_verified_whole(spark):
+    """A chain in which only neighbours are linked, beside a crowd that is linked throughout."""
+    rng = random.Random(5)
+    w = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w[2 * i : 2 * i + 40]), None, None, None) for i in range(60)]
+    base = [f"v{i}" for i in range(120)]
+    rows += [(100 + i, " ".join(x if k != rng.randrange(120) else f"u{i}" for k, x in enumerate(base)), None, None, None) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = grouped(docs.collect())
+    assert len({c for _, c in want.values()}) < 20
+    for bucket in (1024, 3):
+        got = near_dedup.near_duplicates(docs, Scratch(spark, "t"), block=4, bucket=bucket).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_texts_of_one_doc_id_are_judged_each(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one, "x", None, 0), (4, one + " tail", "x", None, 0), (4, two, "x", None, 0), (4, three, "x", None, 0), (4, three, "y", None, 0), (9, two, "x", None, 0), (4, None, "x", None, 0), (5, None, "x", None, 0), (5, " ", "x", None, 0)]
+    for parts in (1, 2, 3):
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        got = near_dedup.near_duplicates(docs, Scratch(spark, "t")).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 26, 1, True), (4, 0, 4, True), (4, 26, 4, True), (4, 26, 4, True), (4, 26, 4, True), (4, 27, 1, False), (5, 0, 5, True), (5, 0, 5, True), (9, 26, 4, False)]
+        kept = near_dedup.keep_one(docs, Scratch(spark, "t")).collect()
+        assert sorted((r.doc_id, r.text, r.lang) for r in kept) == [(1, one, "x"), (4, two, "x"), (4, three, "y"), (5, " ", "x")]
+
+
 def test_one_row_of_a_repeated_representative_stays(spark):
     rows = [(2, "a b c d e f", "", "", 0), (2, "a b c d e f", "", "", 0), (4, "A B C D E F", "", "", 0), (5, "x y", "de", "", 0), (5, "x y", "en", "", 0), (6, None, "", "", 0), (6, "z", "", "", 0), (None, "n", "", "", 0), (None, "n", "", "", 0)]
     for order in (rows, rows[::-1]):
