@@ -1,8 +1,8 @@
 """Document fingerprints: threshold-scaled sketches of five-word shingles, in DataFrame functions only.
 
-A sketch holds every shingle hash among the lowest `fraction` of all 64-bit values, and the least
-hash besides, so that no text with words has an empty one. Because the threshold is the same
-for all texts, sketches of parts merge by union, and containment of a short text in a very long
+A sketch holds every shingle hash among the lowest `fraction` of all 64-bit values; where there is
+none, it holds the least hash, so that no text with words has an empty one. Because the threshold is the same
+for all texts, merge() makes the sketch of a union of shingles from those of its parts, and containment of a short text in a very long
 one is estimated as well as the likeness of two of a size.
 """
 
@@ -34,6 +34,32 @@ def sketch(text: Column, shingle: int = SHINGLE, fraction: float = FRACTION) ->
     return F.array_sort(F.array_distinct(kept))
 
 
+def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of all shingles of two texts from their sketches: what lies below the threshold, or else the least hash."""
+    limit = -(1 << 63) + int(fraction * (1 << 64))
+
+    def held(both: Column) -> Column:
+        below = F.filter(both, lambda x: x < limit)
+        return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
+
+    return _let(F.array_sort(F.array_union(a, b)), held)
+
+
+def merged(sketches: DataFrame, keys: list[str], fraction: float = FRACTION) -> DataFrame:
+    """One sketch for each value of `keys` (by name) from rows (keys, sketch array<bigint>), such as parts of documents.
+
+    Hashes are made distinct before and after the exchange, so rows of one key never meet before they are
+    combined. A key whose sketches are all null or empty has an empty one.
+    """
+    limit = -(1 << 63) + int(fraction * (1 << 64))
+    rows = sketches.select(*keys, F.explode_outer("sketch").alias("__hash")).distinct()
+    least = F.min("__hash")
+    held = F.array_sort(F.collect_set(F.when(F.col("__hash") < limit, F.col("__hash"))))
+    out = rows.groupBy(*keys).agg(held.alias("sketch"), least.alias("__least"))
+    alone = F.when(F.col("__least").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("__least"))
+    return out.select(*keys, F.when(F.size("sketch") > 0, F.col("sketch")).otherwise(alone).alias("sketch"))
+
+
 def written(sketch: Column) -> Column:
     """A sketch as text: 16 hexadecimal digits for each hash, lowest first."""
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")

@@ -113,8 +113,8 @@ def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, tre
     Queries are the rows where is_query holds; candidates are all rows but the query's own id.
     Vectors that are null, zero, or hold nulls, NaN or infinities take no part. Vectors of
     different lengths are never compared: each length has a forest of its own. A query visits `share` times as
-    many leaves as one tree has. Rows that repeat a vec_id count once if their vectors are equal, and
-    as the nearer one if not. With fewer than k candidates all are returned; an empty table gives no rows.
+    many leaves as one tree has. Rows that share a vec_id are one candidate and one query: the score of two ids is
+    that of their nearest vectors. With fewer than k candidates all are returned; an empty table gives no rows.
     """
     good = rows.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).withColumn("embedding", F.col("embedding").cast("array<double>"))
     spark = rows.sparkSession
@@ -149,7 +149,7 @@ def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, tre
         parts = seated.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
         cut = F.broadcast(scratch.keep(parts.where("parts > 1"), f"parts-{dim}"))  # at most trees * 2 ** DEPTH rows
         seated = seated.join(cut, ["tree", "leaf"], "left").withColumn("part", F.pmod("vec_id", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-        asked = own.where("asks").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).dropDuplicates(["query_id"]).mapInArrow(ask, "tree int, leaf int, query_id long, query array<double>")
+        asked = own.where("asks").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).distinct().mapInArrow(ask, "tree int, leaf int, query_id long, query array<double>")
         asked = asked.join(cut, ["tree", "leaf"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         keys = ["tree", "leaf", "part"]
         found = seated.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_best(k), "query_id long, vec_id long, score double")

@@ -1,21 +1,26 @@
 """Substring dedup: words of passages that also start in an earlier document are removed.
 
-The method named for this operator streams documents through broadcast suffix automata of
-reference shards. Here the reference is the corpus itself: every document would pass every
-shard, work that grows with the square of the corpus, and no broadcast has a size bound. So the
-automata serve bounded references (suffix_automaton.py), and within a corpus the same maximal spans are found by content-defined anchors:
-
-1. Each document gives the least of every run of `window - anchor + 1` consecutive hashes of
-   `anchor` words. Two equal windows have the same least anchor.
-2. Anchors found in two documents of different texts are kept (one aggregation, one join). A
+Suffix automata of reference shards, past which documents stream for their matching statistics.
+The reference is the corpus itself, so no broadcast of all shards would have a size bound, and
+every document would pass every shard. Content-defined anchors bring each passage to the one
+small shard that can hold it:
+
+1. Every window has the least hash of its runs of `anchor` words as its anchor; equal windows have
+   equal anchors. Windows of one document with one anchor are a segment, of at most
+   `2 * window - anchor` words or so.
+2. Anchors of two documents of different texts are kept (one aggregation, one join). A
    document whose whole text an earlier one has loses all it would lose by windows, and takes no
    part in what follows.
-3. Windows whose least anchor is shared are hashed whole; the least doc_id of a hash decides
-   which occurrences go. Hashes have 64 bits over 64-bit word hashes.
-4. Positions of windows that go are gathered by document (at most as many as it has words) and
+3. Segments of an anchor are its shard. Equal segments are one, that of the least doc_id. Where there are
+   several, each in order of doc_id streams past the automaton of those before it; matches of
+   `window` words or more are what goes, and then the automaton takes it in.
+4. An anchor of more than `most` segments, such as that of a very common line, is no shard: there every window
+   is a segment by itself, under a hash of all its words. Equal ones are one by aggregation, and nothing is left for an automaton to tell.
+5. Marks of segments are gathered by document (at most as many as it has words) and
    the words they cover are left out.
 
-Texts are compressed before an exchange. Nothing is broadcast, no group is gathered but the positions of one document, and a passage in a
+Words are told apart by 64-bit hashes. Texts are compressed before an exchange. Nothing is broadcast, no group is gathered but the
+segments of an anchor, `most` at the utmost, and the marks of one document; a passage in a
 third of all documents is a hot key only for aggregations that combine before the exchange and
 for joins that Spark can split.
 """
@@ -32,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.scratch import Scratch
-from gridloom.llm.words import grams, released, slices, words_of
+from gridloom.llm.suffix_automaton import SuffixAutomaton
+from gridloom.llm.words import gathered, grams, mix, released, slices, words_of
 
-WINDOW = 50
-ANCHOR = 12
+#: Words of a window and of an anchor, and most segments of one automaton's shard.
+WINDOW, ANCHOR, MOST = 50, 12, 1024
 
 
 def _run(values: np.ndarray, size: int, pick) -> np.ndarray:
@@ -46,20 +52,27 @@ def _run(values: np.ndarray, size: int, pick) -> np.ndarray:
     return out if have == size else pick(out[: len(values) - size + 1], out[size - have :])
 
 
-def anchors_of(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions of anchors in the concatenated word hashes, and their hashes."""
+def segments_of(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments in the concatenated word hashes: anchor, place of the first window, number of windows, document.
+
+    The lowest byte of an anchor's hash gives way to its place, so that the least hash says where it is.
+    """
     span = window - anchor + 1
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if not 0 < span <= 63:
+        raise ValueError("a window has 1 to 63 anchors")
     g = grams(hashes, anchor)
     if len(g) < span:
-        return none
-    least = _run(g, span, np.minimum)
-    end = np.repeat(first[1:], np.diff(first))[: len(least)]
-    least = np.where(np.arange(len(least)) + window <= end, least, np.uint64(0))
-    pad = np.zeros(span - 1, np.uint64)
-    at = np.flatnonzero(_run(np.concatenate([pad, least, pad]), span, np.maximum)[: len(g)] == g)
-    at = at[g[at] != 0]
-    return at, g[at]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.arange(len(g))
+    least = _run((g & ~np.uint64(255)) | (place & 255).astype(np.uint64), span, np.minimum)
+    place = place[: len(least)]
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(least)]
+    ok = np.flatnonzero(place + window <= first[1:][doc])
+    if not len(ok):
+        return np.zeros(0, np.uint64), ok, ok, ok
+    at = ok + (((least[ok] & np.uint64(255)).astype(np.int64) - ok) & 255)
+    new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (doc[ok][1:] != doc[ok][:-1])))
+    return least[ok][new] >> np.uint64(8), ok[new], np.diff(np.append(new, len(ok))), doc[ok][new]
 
 
 def _cover(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -95,59 +108,106 @@ def _anchor_rows(window: int, anchor: int):
         for batch in batches:
             for part in slices(batch):
                 w = words_of(part.column(1))
-                at, h = anchors_of(w.hashes, w.first, window, anchor)
-                doc = np.searchsorted(w.first, at, "right") - 1
-                nth = np.arange(len(at)) - np.searchsorted(doc, doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(nth.astype(np.int32)), part.column(2).take(pa.array(doc))], ["anchor", "doc_id", "nth", "same"])
+                h, _, _, doc = segments_of(w.hashes, w.first, window, anchor)
+                nth = np.arange(len(h)) - np.searchsorted(doc, doc)
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(take), part.column(2).take(take), pa.array(nth.astype(np.int32))], ["anchor", "doc_id", "key", "nth"])
 
     return rows
 
 
-def _window_rows(window: int, anchor: int):
+def _segment_rows(window: int, anchor: int):
+    """Segments of rows (doc_id, key, text, asked): those of `asked`, twice their number and 1 if the anchor is a hot one."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 21):
-                w = words_of(_opened(part.column(1)))
-                at, _ = anchors_of(w.hashes, w.first, window, anchor)
-                from_ = np.searchsorted(at, w.first)
-                shared = np.zeros(len(at), bool)
-                lists = part.column(2)
-                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                shared[lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(from_[:-1], size)] = True
-                # The window's least hash carries in its last bit whether its anchor is shared (0).
-                g = grams(w.hashes, anchor)
-                if len(w.hashes) < window:
-                    continue
-                g |= np.uint64(1)
-                g[at[shared]] ^= np.uint64(1)
-                every = _run(g, window - anchor + 1, np.minimum)
-                ok = (every & np.uint64(1)) == 0
-                ok &= np.arange(len(every)) + window <= np.repeat(w.first[1:], w.counts)[: len(every)]
-                start = np.flatnonzero(ok)
-                if len(start):
-                    doc = np.searchsorted(w.first, start, "right") - 1
-                    h = grams(w.hashes, window)[start]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32))], ["hash", "doc_id", "start"])
+            for part in slices(batch, 1 << 20):
+                w = words_of(_opened(part.column(2)))
+                h, at, n, doc = segments_of(w.hashes, w.first, window, anchor)
+                from_ = np.searchsorted(doc, np.arange(part.num_rows))
+                size = part.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                asked = part.column(3).flatten().to_numpy(zero_copy_only=False)
+                nth = np.sort((np.repeat(from_, size) + (asked >> 1)) * 2 + (asked & 1))
+                hot, nth = nth & 1 == 1, nth >> 1
+                # hot ones are cut into single windows, under the hash of the window
+                one = gathered(at[nth[hot]], n[nth[hot]])
+                every = grams(w.hashes, window)[one] if len(one) else np.zeros(0, np.uint64)
+                own = nth[~hot]
+                lens = n[own] + window - 1
+                body = w.hashes[gathered(at[own], lens)]
+                with np.errstate(over="ignore"):
+                    place = np.arange(len(body)) - np.repeat(np.cumsum(lens) - lens, lens)
+                    digest = mix(np.add.reduceat(mix(body + place.astype(np.uint64)), np.cumsum(lens) - lens) + lens.astype(np.uint64)) if len(own) else np.zeros(0, np.uint64)
+                raw, ends = body.tobytes(), (8 * np.cumsum(lens)).tolist()
+                body = pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)] + [None] * len(one), pa.binary())
+                doc = np.concatenate([doc[own], np.repeat(doc[nth[hot]], n[nth[hot]])])
+                start = np.concatenate([at[own], one]) - w.first[doc]
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[own], every]).view(np.int64)), pa.array(np.concatenate([digest, every]).view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(np.concatenate([n[own], np.ones(len(one), np.int64)]).astype(np.int32)), body], ["anchor", "digest", "doc_id", "key", "start", "n", "body"])
+
+    return rows
+
+
+def _streamed(window: int):
+    """(anchor, digest, mask) of rows (anchor, lo, digest, body) in this order: a bit for each window that a segment of a smaller lo has."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, group, held = SuffixAutomaton(), None, []  # held: segments of one lo, which don't see each other
+        for batch in batches:
+            out = []
+            for anchor, lo, digest, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (anchor, lo) != group:
+                    if group is None or anchor != group[0]:
+                        automaton, held = SuffixAutomaton(), []
+                    for other in held:
+                        automaton.add(other)
+                    group, held = (anchor, lo), []
+                words, mask = np.frombuffer(body, np.uint64).tolist(), 0
+                for i, long in enumerate(automaton.matches(words), 1 - window):
+                    if long >= window:
+                        mask |= 1 << i
+                held.append(words)
+                if mask:
+                    out.append((anchor, digest, mask))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["anchor", "digest", "mask"])
 
     return rows
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, starts array<int>, whole): word positions of windows that also start in a document with a smaller doc_id.
+def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
+    """(doc_id, key, marks array<struct<start, mask>>, whole): windows that also start in a document with a smaller doc_id.
 
-    Where `whole` is true such a document has the same text, and starts may be null: every window goes.
+    key is xxhash64 of the text. Bit i of a mask is the window that begins at word start + i.
+    Where `whole` is true such a document has the same text, and marks are null: every window goes.
     """
-    text = docs.select("doc_id", "text").where("doc_id is not null and length(text) >= %d" % (2 * window - 1))
-    digests = text.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).where("doc_id is not null and length(text) >= %d" % (2 * window - 1))
+    digests = text.select("doc_id", "key", F.md5(F.col("text").cast("binary")).alias("md5"))
     first = digests.groupBy("md5").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("md5", "lo")
-    copies = digests.join(first, "md5").where("doc_id > lo").select("doc_id").distinct()
-    anchors = text.withColumn("same", F.xxhash64("text")).mapInArrow(released(_anchor_rows(window, anchor)), "anchor long, doc_id long, nth int, same long")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("same").alias("a"), F.max("same").alias("b")).where("lo < hi and a < b").select("anchor")
-    by_doc = anchors.select("anchor", "doc_id", "nth").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("nth").alias("nths")).join(copies, "doc_id", "left_anti")
-    windows = scratch.keep(pressed(text).join(by_doc, "doc_id").select("doc_id", "text", "nths").mapInArrow(released(_window_rows(window, anchor)), "hash long, doc_id long, start int"), "windows")
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
-    starts = windows.join(least, "hash").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    return starts.select("doc_id", "starts", F.lit(False).alias("whole")).union(copies.select("doc_id", F.lit(None).cast("array<int>"), F.lit(True)))
+    copies = digests.join(first, "md5").where("doc_id > lo").select("doc_id", "key").distinct()
+    anchors = text.select("doc_id", "text", "key").mapInArrow(released(_anchor_rows(window, anchor)), "anchor long, doc_id long, key long, nth int")
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("lo < hi and a < b").select("anchor", (F.col("n") > most).cast("int").alias("hot"))
+    by_doc = anchors.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set(F.col("nth") * 2 + F.col("hot")).alias("asked")).join(copies, ["doc_id", "key"], "left_anti")
+    made = pressed(text.select("doc_id", "key", "text")).join(by_doc, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "text", "asked")
+    segments = scratch.keep(made.mapInArrow(released(_segment_rows(window, anchor)), "anchor long, digest long, doc_id long, key long, start int, n int, body binary"), "segments")
+    contents = scratch.keep(segments.groupBy("anchor", "digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("n").alias("n")), "contents")
+    several = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("kinds > 1 and lo < hi").select("anchor")
+    told = contents.join(several, "anchor").select("anchor", "digest", F.col("lo").alias("doc_id"))
+    bodies = segments.select("anchor", "digest", "doc_id", "body").join(told, ["anchor", "digest", "doc_id"]).dropDuplicates(["anchor", "digest"])
+    masks = bodies.select("anchor", F.col("doc_id").alias("lo"), "digest", "body").repartition("anchor").sortWithinPartitions("anchor", "lo", "digest").mapInArrow(released(_streamed(window)), "anchor long, digest long, mask long")
+    gone = contents.join(masks, ["anchor", "digest"], "left").where("lo < hi or mask is not null").select("anchor", "digest", "lo", F.coalesce("mask", F.lit(0)).alias("mask"))
+    mask = F.when(F.col("doc_id") > F.col("lo"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))
+    marks = segments.select("anchor", "digest", "doc_id", "key", "start", "n").join(gone, ["anchor", "digest"]).select("doc_id", "key", "start", mask.alias("mask")).where("mask <> 0")
+    marks = marks.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
+    return marks.select("doc_id", "key", "marks", F.lit(False).alias("whole")).union(copies.select("doc_id", "key", F.lit(None).cast("array<struct<start:int,mask:bigint>>"), F.lit(True)))
+
+
+def _starts(marks: pa.Scalar) -> np.ndarray:
+    """Words at which windows begin that go."""
+    if not marks.is_valid:
+        return np.zeros(0, np.int64)
+    start, mask = (marks.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+    row, bit = np.nonzero((mask[:, None] >> np.arange(63)) & 1)
+    return start[row] + bit
 
 
 def _kept(window: int, digest: bool, out: list[str]):
@@ -156,13 +216,13 @@ def _kept(window: int, digest: bool, out: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1 << 21):
-                text, starts, whole = _opened(part.column(part.schema.get_field_index("text"))), part.column(part.schema.get_field_index("__starts")), part.column(part.schema.get_field_index("__whole"))
+                text, marks, whole = _opened(part.column(part.schema.get_field_index("text"))), part.column(part.schema.get_field_index("__marks")), part.column(part.schema.get_field_index("__whole"))
                 words, removed, made = [], [], []
-                for raw, at, all_ in zip(text, starts, whole.to_pylist(), strict=True):
+                for raw, at, all_ in zip(text, marks, whole.to_pylist(), strict=True):
                     own = raw.as_py()
                     word = (own or "").encode().split()
                     n, kept = len(word), word
-                    at = np.arange(max(0, n - window + 1)) if all_ else np.asarray(at.values if at.is_valid else [], np.int64)
+                    at = np.arange(max(0, n - window + 1)) if all_ else _starts(at)
                     if len(at):
                         gone = _cover(at, n, window)
                         kept = [x for x, g in zip(word, gone.tolist(), strict=True) if not g]
@@ -176,30 +236,31 @@ def _kept(window: int, digest: bool, out: list[str]):
     return rows
 
 
-def _marked(rows: DataFrame, docs: DataFrame, scratch: Scratch, window: int, anchor: int) -> DataFrame:
-    """rows with text compressed, __starts and __whole."""
-    marks = repeated_windows(docs, scratch, window, anchor).select("doc_id", F.col("starts").alias("__starts"), F.col("whole").alias("__whole"))
-    return pressed(rows).join(marks, "doc_id", "left").select(*rows.columns, "__starts", "__whole")
+def _marked(rows: DataFrame, docs: DataFrame, scratch: Scratch, window: int, anchor: int, most: int) -> DataFrame:
+    """rows with text compressed, __marks and __whole."""
+    marks = repeated_windows(docs, scratch, window, anchor, most).select("doc_id", F.col("key").alias("__key"), F.col("marks").alias("__marks"), F.col("whole").alias("__whole"))
+    keyed = rows.withColumn("__key", F.xxhash64("text"))
+    return pressed(keyed).join(marks, ["doc_id", "__key"], "left").select(*rows.columns, "__marks", "__whole")
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
     """docs with `text` without repeated passages, and n_words, n_removed.
 
     Words are runs of characters outside 0x20 and 0x09-0x0D. A text that loses words becomes its
     kept words joined by one space; any other stays as it is, a null too (0 words). The first
     document (least doc_id) keeps a passage; a passage repeated in one document only stays. Rows
-    that share a doc_id count as one document and lose the same positions; rows without doc_id
-    stay whole. Other columns pass through; an empty table gives none. The columns n_words and
+    that share a doc_id are one document, none of which is earlier than another, and each is judged on
+    its own words; rows without doc_id stay whole. Other columns pass through; an empty table gives none. The columns n_words and
     n_removed of the input are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    rows = _marked(docs.select(*own), docs, scratch, window, anchor)
+    rows = _marked(docs.select(*own), docs, scratch, window, anchor, most)
     schema = docs.select(*own).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     return rows.mapInArrow(released(_kept(window, False, schema.names)), schema)
 
 
-def digests(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def digests(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of what remove_repeats() keeps."""
-    rows = _marked(docs.select("doc_id", "text"), docs, scratch, window, anchor)
+    rows = _marked(docs.select("doc_id", "text"), docs, scratch, window, anchor, most)
     return rows.mapInArrow(released(_kept(window, True, ["doc_id", "n_words", "n_removed", "kept_sha256"])), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 

@@ -23,11 +23,11 @@ def removed(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("change", [lambda d: d, clashing])
-def test_repeated_passages_go_exactly(spark, change):
+@pytest.mark.parametrize(("change", "most"), [(lambda d: d, 1024), (clashing, 1024), (clashing, 2), (clashing, 6)])
+def test_repeated_passages_go_exactly(spark, change, most):
     docs = corpus(spark)
     want = removed(docs.na.fill({"text": ""}).collect())
-    got = {r.doc_id: r for r in substring_dedup.digests(change(docs), Scratch(spark, "t")).collect()}
+    got = {r.doc_id: r for r in substring_dedup.digests(change(docs), Scratch(spark, "t"), most=most).collect()}
     assert {k: (r.n_words, r.n_removed, r.kept_sha256) for k, r in got.items()} == {k: v[:3] for k, v in want.items()}
     assert sum(r.n_removed for r in got.values()) > 200
     text = {r.doc_id: r.text for r in docs.collect()}
@@ -43,6 +43,22 @@ def test_substring_dedup_of_odd_tables(spark):
     assert substring_dedup.digests(spark.createDataFrame([], SCHEMA), Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_rows_of_one_doc_id_lose_their_own_words(spark, parts):
+    """(doc_id, text, words that go) where texts share passages across and within ids."""
+    rng = random.Random(2)
+    own = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(120)
+    rows = [(1, passage, 0), (2, own(300) + passage, 120), (2, own(70), 0), (2, passage, 120), (2, passage[:70] + own(5), 70), (3, own(20) + passage[30:110] + own(30), 80), (3, passage[:49] + own(60), 0), (2, own(300), 0)]
+    rows += [(4, rows[1][1], 420), (5, rows[2][1], 70), (6, rows[2][1] + ["end"], 70)]
+    docs = spark.createDataFrame([(k, " ".join(w), None, None, None) for k, w, _ in rows], SCHEMA).repartition(parts)
+    want = sorted((k, len(w), n) for k, w, n in rows)
+    for most in (1024, 2):
+        got = substring_dedup.digests(docs, Scratch(spark, "t"), most=most).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == want
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs, Scratch(spark, "t")).collect()) == want
+
+
 def grouped(rows):
     sets = {}
     for r in rows:

@@ -294,3 +294,35 @@ def test_nearest_recall_ties_and_odd_vectors(spark, part):
     assert hits >= 0.9 * 5 * 18
     assert neighbours.nearest(table.limit(0), F.lit(True), Scratch(spark, "t")).count() == 0
     assert pd.api.types.is_integer_dtype(got["rank"])
+
+
+def test_vectors_of_one_id_are_one_query_and_one_candidate(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(220, 8))
+    v[1:6], v[101:106] = v[200], v[201]
+    rows = [(i, v[i].tolist()) for i in range(1, 200)] + [(0, v[200].tolist()), (0, v[201].tolist()), (0, v[201].tolist()), (3, v[7].tolist())]
+    norm = lambda x: np.asarray(x) / math.sqrt(sum(np.asarray(x) ** 2))
+    best = {}
+    for i, x in rows:
+        for j, y in rows:
+            if i % 50 == 0 and i != j:
+                best[i, j] = max(best.get((i, j), -9.0), float(norm(x) @ norm(y)))
+    want = {i: sorted((-round(s, 9), j) for (q, j), s in best.items() if q == i)[:5] for i in (0, 50, 100, 150)}
+    for order in (rows, rows[::-1], sorted(rows)):
+        got = neighbours.nearest(spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0, Scratch(spark, "t"), leaf=512).collect()
+        for q, own in want.items():
+            assert [(-round(r.score, 9), r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == own
+
+
+def test_recall_on_the_embeddings(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = neighbours.nearest(rows, F.col("vec_id") % 50 == 0, Scratch(spark, "t")).toPandas()
+    table = rows.select("vec_id", "embedding").toPandas()
+    v, ids = np.stack(table["embedding"]).astype(float), table["vec_id"].to_numpy()
+    unit, hits, total = v / np.sqrt((v * v).sum(axis=1, keepdims=True)), 0, 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[i]
+        score[i] = -9
+        want = set(ids[np.lexsort((ids, -score))[:5]].tolist())
+        total, hits = total + 5, hits + len(want & set(got.vec_id[got.query_id == ids[i]]))
+    assert total and hits >= 0.9 * total

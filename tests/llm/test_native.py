@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import random
 
 import pytest
 import xxhash
@@ -50,12 +51,30 @@ def test_fingerprints_equal_brute_force(spark, monkeypatch, per_bucket):
 def test_fingerprints_of_odd_tables(spark):
     assert fingerprint.compare_with_edits(spark.createDataFrame([], SCHEMA)).count() == 0
     one = fingerprint.compare_with_edits(spark.createDataFrame([(1, "a b c d e f", "", "", 0)], SCHEMA)).first()
-    assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"a b c da b ").hexdigest()[: 0] + hashlib.sha256(("a b c d e f"[:8] + "a b").encode()).hexdigest()
+    assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(("a b c d e f"[:8] + "a b").encode()).hexdigest()
     rows = [(None, "a b c", "", "", 0), (None, None, "", "", 0), (2, "x", "", "", 0), (2, "x", "", "", 0)]
     got = fingerprint.compare_with_edits(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 4 and len({r.fingerprint for r in got if r.doc_id == 2}) == 1
 
 
+def test_sketches_of_parts_merge_to_that_of_the_whole(spark):
+    rng, rows = random.Random(0), []
+    for k in range(120):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 4, 5, 9, 30, 400]))]
+        cut = rng.randint(0, len(w))  # parts overlap by four words, so their shingles are those of the whole
+        a, b = (w[: cut + 4], w[cut:]) if len(w) >= 5 and cut <= len(w) - 5 else (w, w)
+        rows.append((k, " ".join(w), " ".join(a), " ".join(b)))
+    table = spark.createDataFrame(rows, "k int, whole string, a string, b string").select("k", "a", *[fingerprint.sketch(F.col(c)).alias(f"s{c[0]}") for c in ("whole", "a", "b")], F.col("b"))
+    table = table.select("k", F.col("sw").alias("whole"), "sa", "sb", fingerprint.merge(F.col("sa"), F.col("sb")).alias("both"))
+    parts = table.select("k", F.explode(F.array("sa", "sb", F.array().cast("array<bigint>"))).alias("sketch"))
+    union = {r.k: r.sketch for r in fingerprint.merged(parts.union(parts.limit(0)), ["k"]).collect()}
+    for r in table.collect():
+        assert r.both == r.whole == union[r.k], r.k
+    assert any(len(r.whole) == 1 for r in table.collect()) and [] in union.values()
+    empty = spark.createDataFrame([(1, None), (1, []), (None, None)], "k int, sketch array<bigint>")
+    assert sorted((r.k or 0, r.sketch) for r in fingerprint.merged(empty, ["k"]).collect()) == [(0, []), (1, [])]
+
+
 def test_containment_of_unequal_texts(spark):
     w = [f"w{i}" for i in range(4000)]
     row = spark.createDataFrame([(" ".join(w), " ".join(w[:800]))], "a string, b string").select(fingerprint.containment(fingerprint.sketch(F.col("b")), fingerprint.sketch(F.col("a"))).alias("x"), fingerprint.containment(fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("b"))).alias("y")).first()
