@@ -2,7 +2,7 @@
 
 Trees are fitted on a bounded sample and every row is put into a leaf of each tree. A query takes
 leaves from a queue shared by all trees, least sum of squared distances beyond splitting planes
-first, until it has visited as many as `share` says; the rows of these leaves are ranked by the exact cosine of the original vectors.
+first, until it has visited as many as `share` says, and as many as there are trees at least; the rows of these leaves are ranked by the exact cosine of the original vectors.
 The trees have at most 2 ** levels leaves, which bounds the copies of a query but not the rows it
 scores: with `share` 1 these are, repeats included, as many as the table has, so the work is
 queries times rows. Vectors with more structure need a smaller share and more levels.
@@ -113,7 +113,7 @@ def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, tre
     Queries are the rows where is_query holds; candidates are all rows but the query's own id.
     Vectors that are null, zero, or hold nulls, NaN or infinities take no part. Vectors of
     different lengths are never compared: each length has a forest of its own. A query visits `share` times as
-    many leaves as one tree has. Rows that share a vec_id are one candidate and one query: the score of two ids is
+    many leaves as one tree has, and as many as there are trees at least. Rows that share a vec_id are one candidate and one query: the score of two ids is
     that of their nearest vectors. With fewer than k candidates all are returned; an empty table gives no rows.
     """
     good = rows.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).withColumn("embedding", F.col("embedding").cast("array<double>"))
@@ -125,7 +125,7 @@ def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, tre
         depth = max(0, min(levels, int(np.floor(np.log2(max(1, n / leaf))))))
         x = _unit(some.column("embedding").combine_chunks())[1] if some.num_rows else np.ones((1, dim), np.float32)
         forest = spark.sparkContext.broadcast(Forest(x, trees if depth else 1, depth))
-        visits = max(1, int(np.ceil(share * (1 << depth))))
+        visits = max(trees, int(np.ceil(share * (1 << depth))))
 
         def seat(batches: Iterator[pa.RecordBatch], forest=forest) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -22,8 +22,8 @@ from gridloom.llm.words import released, slices, text_bytes
 
 #: Most labelled documents of either label that training takes, and bytes of a dictionary.
 SAMPLE, DICTIONARY, LEVEL, CUT = 2000, 96 * 1024, 3, 0.7
-#: Bytes of a text that are compressed by themselves; the last block of a text may have fewer.
-BLOCK = 4096
+#: Bytes of a text that are compressed by themselves, the last block of a text may have fewer; of a training sample; least bytes of a dictionary.
+BLOCK, PIECE, LEAST = 4096, 512, 256
 
 
 class CompressionModel:
@@ -45,7 +45,7 @@ class CompressionModel:
         if self._made is None:
             made = []
             for content in (self.good, self.bad):
-                held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_AUTO) if content else None
+                held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT) if content else None
                 if held is not None:
                     held.precompute_compress(level=self.level)
                 made.append(zstandard.ZstdCompressor(level=self.level, dict_data=held) if held is not None else zstandard.ZstdCompressor(level=self.level))
@@ -59,16 +59,20 @@ class CompressionModel:
         return 1 / (1 + np.exp(-np.clip(slope * feature + base, -50, 50)))
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary of up to `size` bytes; with too little text for that, the text itself."""
-    samples = [t[i : i + 2048] for t in texts for i in range(0, len(t), 2048)]
-    total = sum(map(len, samples))
+def dictionaries(good: list[bytes], bad: list[bytes], size: int) -> tuple[bytes, bytes]:
+    """A trained dictionary of each label's texts, both of at most the same size: `size` bytes, or an eighth of the scarcer label's text.
+
+    Where the texts of either label don't make a dictionary (too few of them, or nothing in them
+    that repeats), neither has one: both are empty, and no text is told from another.
+    """
+    pieces = [[t[i : i + PIECE] for t in own for i in range(0, len(t), PIECE)] for own in (good, bad)]
+    size = min(size, min(sum(map(len, own)) for own in pieces) // 8)
+    if size < LEAST or min(map(len, pieces)) < 8:
+        return b"", b""
     try:
-        if len(samples) >= 8 and total >= 8 * size:
-            return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+        return tuple(zstandard.train_dictionary(size, own, level=LEVEL).as_bytes() for own in pieces)
     except zstandard.ZstdError:
-        pass
-    return b"\n".join(texts)[-size:]
+        return b"", b""
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -87,14 +91,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def fit(texts: list[bytes], labels: np.ndarray, size: int = DICTIONARY) -> CompressionModel:
-    """Dictionaries from two of every three texts, the curve from the third."""
+    """Dictionaries from two of every three texts, the curve from the third. Without dictionaries every text has the share of label 1."""
     order = np.arange(len(texts))
     built = order % 3 != 0
-    model = CompressionModel(*(_dictionary([texts[i] for i in order[built & (labels == want)]], size) for want in (1, 0)))
+    model = CompressionModel(*dictionaries(*([texts[i] for i in order[built & (labels == want)]] for want in (1, 0)), size))
     rest = order[~built]
     share = labels.mean() if len(labels) else 0.5
     model.weights = (0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    if len(set(labels[rest].tolist())) == 2:
+    if model.good and len(set(labels[rest].tolist())) == 2:
         model.weights = logistic(np.array([model.feature(texts[i]) for i in rest]), labels[rest].astype(float))
     return model
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from gridloom.llm import langid, lm_scoring, neighbours, packing, quality
@@ -102,6 +103,42 @@ def test_quality_on_held_out_documents(spark):
     assert quality.classify(docs, nothing).toPandas().score.between(0, 1).all()
 
 
+def test_both_labels_have_trained_dictionaries(spark):
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        model = quality.train(*(spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels")))
+        for made in (model.good, model.bad):
+            assert zstandard.get_frame_parameters(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(made)).compress(b"a")).dict_id
+            assert made[:4] == bytes.fromhex("37a430ec") and len(made) <= quality.DICTIONARY
+    text = [b"some words again and again " * 20] * 40
+    for good, bad in ((text, text[:1]), (text, []), ([], []), (text, [b"", b""] * 40), (text, [b"a"] * 50)):
+        assert quality.dictionaries(good, bad, 1 << 16) == (b"", b"")
+
+
+def test_scores_are_those_of_block_sizes(spark):
+    """Every score against one made from sizes of single blocks, and the curve against a search over slopes and bases."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.union(spark.createDataFrame([(9001, None, None, None, 0), (9002, "", None, None, 0), (9003, "word " * 40_000, None, None, 0), (9003, "x", None, None, 0), (9003, "x", None, None, 0)], docs.schema)).select("doc_id", "text").toPandas()
+    model = quality.train(docs, labels)
+
+    def feature(text):
+        data, sizes = (text or "").encode(), []
+        for made in (model.bad, model.good):
+            press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(made))
+            sizes.append(sum(len(press.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)))
+        return (sizes[0] - sizes[1]) / (len(data) + 64) if data else 0.0
+
+    slope, base = model.weights
+    want = sorted((int(k), round(1 / (1 + math.exp(-(slope * feature(t) + base))), 5)) for k, t in zip(rows.doc_id, rows.text, strict=True))
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-3 for a, b in zip(want, sorted((r.doc_id, r.score) for r in got), strict=True))
+    assert quality.classify(docs.limit(0), model).count() == 0
+    x, y = np.random.default_rng(0).normal(size=200), np.random.default_rng(1).integers(0, 2, 200)
+    x += y
+    loss = lambda s, b: np.log(1 + np.exp(-(2 * y - 1) * (s * x + b))).sum()
+    s, b = quality.logistic(x, y.astype(float))
+    assert all(loss(s, b) <= loss(s + i * 0.05, b + j * 0.05) + 1e-3 for i in (-1, 0, 1) for j in (-1, 0, 1))
+
+
 def test_quality_judges_long_texts_to_their_end(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
@@ -301,17 +338,17 @@ def test_vectors_of_one_id_are_one_query_and_one_candidate(spark):
     v = rng.normal(size=(220, 8))
     v[1:6], v[101:106] = v[200], v[201]
     rows = [(i, v[i].tolist()) for i in range(1, 200)] + [(0, v[200].tolist()), (0, v[201].tolist()), (0, v[201].tolist()), (3, v[7].tolist())]
-    norm = lambda x: np.asarray(x) / math.sqrt(sum(np.asarray(x) ** 2))
-    best = {}
+    size, best = lambda x: np.sqrt((x * x).sum()), {}
     for i, x in rows:
         for j, y in rows:
             if i % 50 == 0 and i != j:
-                best[i, j] = max(best.get((i, j), -9.0), float(norm(x) @ norm(y)))
-    want = {i: sorted((-round(s, 9), j) for (q, j), s in best.items() if q == i)[:5] for i in (0, 50, 100, 150)}
+                a, b = np.array(y), np.array(x)
+                best[i, j] = max(best.get((i, j), -9.0), float((a * b).sum() / (size(a) * size(b))))
+    want = {i: sorted((-s, j) for (q, j), s in best.items() if q == i)[:5] for i in (0, 50, 100, 150)}
     for order in (rows, rows[::-1], sorted(rows)):
         got = neighbours.nearest(spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0, Scratch(spark, "t"), leaf=512).collect()
         for q, own in want.items():
-            assert [(-round(r.score, 9), r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == own
+            assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == own
 
 
 def test_recall_on_the_embeddings(spark):
