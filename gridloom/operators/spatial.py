@@ -2,11 +2,14 @@
 
 Masks are boxes (x0, y0, x1, y1) or rings. Boxes are joined by ranges and clipped in closed form;
 rings are clipped against rectangles by a vectorised function. A mask layer drawn by hand is
-small: it is broadcast below a checked number of rows and joined by a tile key beyond it.
+small: it is broadcast below a checked number of rows. Beyond it, both sides are dealt to square cells
+whose side follows from the boxes, and meet by equality. Unions of boxes are always formed cell by cell.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +19,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions.columns import box_of, is_nodata, shifted
 from gridloom.operators.tiling import complete_windows
+from gridloom.sources.store import Snapshots, work_folder
 
 #: Most mask rows that are broadcast to the rasters or patches.
 MASK_ROWS = 200_000
@@ -26,14 +30,14 @@ def with_extent(rasters: DataFrame) -> DataFrame:
     return rasters.withColumns(box_of(F.col("gt"), F.lit(0), F.lit(0), F.col("width"), F.col("height")))
 
 
-def meets(left: DataFrame, masks: DataFrame, cell: float | None = None) -> DataFrame:
+def meets(left: DataFrame, masks: DataFrame, cell: float | None = None, rows: int | None = None) -> DataFrame:
     """left (minx ... maxy) with each mask box (x0 ... y1) that it touches; touching without area counts.
 
-    Up to MASK_ROWS masks are broadcast. Beyond, give `cell`: both sides are dealt to the squares of
+    Up to MASK_ROWS masks are broadcast; `rows` spares counting them. Beyond, give `cell`: both sides are dealt to the squares of
     that side which they overlap, meet by equality, and the pair is kept where its lower left corner lies.
     """
     near = (F.col("minx") <= F.col("x1")) & (F.col("x0") <= F.col("maxx")) & (F.col("miny") <= F.col("y1")) & (F.col("y0") <= F.col("maxy"))
-    if masks.limit(MASK_ROWS + 1).count() <= MASK_ROWS:
+    if (masks.limit(MASK_ROWS + 1).count() if rows is None else rows) <= MASK_ROWS:
         return left.join(F.broadcast(masks), near)
     if not cell:
         raise ValueError("a mask layer this large needs a cell size")
@@ -44,6 +48,19 @@ def meets(left: DataFrame, masks: DataFrame, cell: float | None = None) -> DataF
     return a.join(b, ["__gx", "__gy"]).where(near & own).drop("__gx", "__gy")
 
 
+def meeting(left: DataFrame, masks: DataFrame) -> DataFrame:
+    """meets() of tables of any size: where masks are too many to broadcast, the side of the cells follows from both tables."""
+    if masks.limit(MASK_ROWS + 1).count() <= MASK_ROWS:
+        return meets(left, masks, rows=MASK_ROWS)
+    return meets(left, masks, cell_side((left, "minx", "miny", "maxx", "maxy"), (masks, "x0", "y0", "x1", "y1")), MASK_ROWS + 1)
+
+
+def settled(masks: DataFrame) -> DataFrame:
+    """Masks written to the folder that all executors share, so that plans that use them several times don't make them again."""
+    store = Snapshots(masks.sparkSession, f"{work_folder(masks.sparkSession)}/masks-{uuid.uuid4().hex}")
+    return store.write(masks, 0)
+
+
 def _side(lo: str, hi: str, a: str, b: str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.col(hi), F.col(b)) - F.greatest(F.col(lo), F.col(a)))
 
@@ -53,13 +70,36 @@ def shared_area() -> Column:
     return _side("minx", "maxx", "x0", "x1") * _side("miny", "maxy", "y0", "y1")
 
 
-def disjoint_boxes(masks: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
+def cell_side(*boxes: tuple[DataFrame, str, str, str, str]) -> float:
+    """A side for square cells: the power of two at or above the mean side of the boxes of the tables (x0, y0, x1, y1 by name).
+
+    A box then overlaps some four cells, and cell bounds are exact numbers. 1 where there is no box with a side.
+    """
+    side = 0.0
+    for table, x0, y0, x1, y1 in boxes:
+        found = table.agg(F.avg(F.greatest(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0)))).first()[0]
+        side = max(side, found or 0.0)
+    return 2.0 ** math.ceil(math.log2(side)) if 0 < side < math.inf else 1.0
+
+
+def dealt_to_cells(masks: DataFrame, cell: float) -> DataFrame:
+    """Mask boxes cut at the bounds of square cells (gx, gy); pieces without area are left out."""
+    squares = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    out = masks.where("x1 > x0 and y1 > y0").withColumn("gx", squares("x0", "x1")).withColumn("gy", squares("y0", "y1"))
+    lo, hi = (lambda c, g: F.greatest(F.col(c), F.col(g) * cell)), (lambda c, g: F.least(F.col(c), (F.col(g) + 1) * cell))
+    return out.withColumns({"x0": lo("x0", "gx"), "x1": hi("x1", "gx"), "y0": lo("y0", "gy"), "y1": hi("y1", "gy")}).where("x1 > x0 and y1 > y0")
+
+
+def disjoint_boxes(masks: DataFrame, keys: tuple[str, ...] = ("split",), cell: float | None = None) -> DataFrame:
     """The union of mask boxes of each key as boxes that don't overlap.
 
-    The plane is cut at all x bounds of the key; within a strip, a running maximum of the upper
-    bounds joins intervals that touch. Areas of the pieces add up without counting any twice.
+    Boxes are dealt to square cells of side `cell` (by default that of cell_side), and the union is formed in each by itself:
+    the cell is cut at all x bounds of its boxes; within a strip, a running maximum of the upper
+    bounds joins intervals that touch. Areas of the pieces add up without counting any twice. So the
+    work grows with the boxes of a cell, not of a key.
     """
-    keys = list(keys)
+    masks = dealt_to_cells(masks.select(*keys, "x0", "y0", "x1", "y1"), cell or cell_side((masks, "x0", "y0", "x1", "y1")))
+    split, keys = list(keys), [*keys, "gx", "gy"]
     cuts = masks.select(*keys, F.col("x0").alias("cut")).union(masks.select(*keys, F.col("x1").alias("cut"))).distinct()
     strips = cuts.withColumn("next", F.lead("cut").over(Window.partitionBy(*keys).orderBy("cut"))).where("next > cut")
     on = [F.col(f"m.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys] + [F.col("m.x0") <= F.col("s.cut"), F.col("m.x1") >= F.col("s.next")]
@@ -67,17 +107,17 @@ def disjoint_boxes(masks: DataFrame, keys: tuple[str, ...] = ("split",)) -> Data
     line = Window.partitionBy(*keys, "x0").orderBy("y0", "y1")
     reach = F.max("y1").over(line.rowsBetween(Window.unboundedPreceding, -1))
     grouped = pieces.withColumn("begins", F.when(reach.isNull() | (F.col("y0") > reach), 1).otherwise(0)).withColumn("run", F.sum("begins").over(line))
-    return grouped.groupBy(*keys, "x0", "run").agg(F.first("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("run").select(*keys, "x0", "y0", "x1", "y1")
+    return grouped.groupBy(*keys, "x0", "run").agg(F.first("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).select(*split, "x0", "y0", "x1", "y1")
 
 
 def valid_area(rasters: DataFrame, masks: DataFrame) -> DataFrame:
     """path, split, area: the area of a raster inside the masks of a split (boxes must not overlap); only where there is some."""
-    return meets(with_extent(rasters), masks).groupBy("path", "split").agg(F.sum(shared_area()).alias("area"))
+    return meeting(with_extent(rasters), masks).groupBy("path", "split").agg(F.sum(shared_area()).alias("area"))
 
 
 def mask_bounds(masks: DataFrame, rasters: DataFrame) -> DataFrame:
     """path, minx, miny, maxx, maxy of the part of all masks inside a raster."""
-    hit = meets(with_extent(rasters), masks)
+    hit = meeting(with_extent(rasters), masks)
     return hit.groupBy("path").agg(F.min(F.greatest("minx", "x0")).alias("bx0"), F.min(F.greatest("miny", "y0")).alias("by0"), F.max(F.least("maxx", "x1")).alias("bx1"), F.max(F.least("maxy", "y1")).alias("by1"))
 
 
@@ -85,13 +125,14 @@ def patches(rasters: DataFrame, masks: DataFrame, size: int, stride: int, overla
     """Complete windows of rasters whose share inside the masks of a split is `overlap` or more.
 
     Rasters that meet no mask are dropped first; the rest follows from arithmetic on headers, and no pixel is read.
+    Masks are used twice: give them settled(), if they are the result of a plan.
     """
-    some = rasters.join(meets(with_extent(rasters), masks).select("path").distinct(), "path", "left_semi")
+    some = rasters.join(meeting(with_extent(rasters), masks).select("path").distinct(), "path", "left_semi")
     grid = complete_windows(some, size, stride)
     gt = F.col("gt")
     boxed = grid.withColumns(box_of(gt, F.col("x_offset"), F.col("y_offset"), F.lit(size), F.lit(size)))
     whole = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
-    inside = meets(boxed, masks).groupBy("path", "split", "x_offset", "y_offset").agg(F.sum(shared_area() / whole).alias("overlap_ratio"), F.first("gt").alias("gt"), F.first("wkt").alias("wkt"))
+    inside = meeting(boxed, masks).groupBy("path", "split", "x_offset", "y_offset").agg(F.sum(shared_area() / whole).alias("overlap_ratio"), F.first("gt").alias("gt"), F.first("wkt").alias("wkt"))
     kept = inside.where(F.col("overlap_ratio") >= overlap)
     return kept.select("path", "split", "x_offset", "y_offset", F.lit(size).alias("width"), F.lit(size).alias("height"), shifted(gt, F.col("x_offset"), F.col("y_offset")).alias("geotransform"), F.col("wkt").alias("projection"), "overlap_ratio")
 

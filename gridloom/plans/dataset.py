@@ -29,7 +29,7 @@ def patch_index(rasters: DataFrame, masks: DataFrame, pixels: DataFrame, config:
 
     Headers decide before any pixel is read; only blocks under surviving patches take part in the last step.
     """
-    boxes = spatial.disjoint_boxes(masks)
+    boxes = spatial.settled(spatial.disjoint_boxes(masks))
     some = spatial.patches(rasters, boxes, config.patch_size, config.stride, config.overlap_threshold)
     values = nodata_of(rasters, config.bands[0], config.nodata_value).select("path", "nodata_value")
     band = pixels.where(F.col("c") == config.bands[0]).select("path", "y", "x", "v").join(values, "path")

@@ -270,19 +270,19 @@ over AS (SELECT path, split, x_offset, y_offset, sum({_SHARED} / ((maxx - minx)
 
 @query("fl1_overlap_ratio", f"WITH {_PATCH} SELECT path, split, x_offset, y_offset, round(overlap_ratio, 9) AS overlap_ratio FROM over WHERE overlap_ratio >= 0.5")
 def overlap_ratio(spark, sf_dir):
-    p = spatial.patches(headers(spark, sf_dir), spatial.disjoint_boxes(masks(spark, sf_dir)), 64, 48, 0.5)
+    p = spatial.patches(headers(spark, sf_dir), spatial.settled(spatial.disjoint_boxes(masks(spark, sf_dir))), 64, 48, 0.5)
     return p.select("path", "split", "x_offset", "y_offset", F.round("overlap_ratio", 9).alias("overlap_ratio"))
 
 
 @query("ag9_split_counts", f"WITH {_PATCH} SELECT split, count(*) AS patches FROM over WHERE overlap_ratio >= 0.5 GROUP BY split")
 def split_counts(spark, sf_dir):
-    return dataset.split_counts(spatial.patches(headers(spark, sf_dir), spatial.disjoint_boxes(masks(spark, sf_dir)), 64, 48, 0.5))
+    return dataset.split_counts(spatial.patches(headers(spark, sf_dir), spatial.settled(spatial.disjoint_boxes(masks(spark, sf_dir))), 64, 48, 0.5))
 
 
 @query("fl3_raster_semi_join", f"WITH {_AREAS} SELECT DISTINCT path FROM ext WHERE EXISTS (SELECT 1 FROM box WHERE {_TOUCH})")
 def raster_semi_join(spark, sf_dir):
     h = spatial.with_extent(headers(spark, sf_dir))
-    return h.join(spatial.meets(h, masks(spark, sf_dir)).select("path").distinct(), "path", "left_semi").select("path")
+    return h.join(spatial.meeting(h, masks(spark, sf_dir)).select("path").distinct(), "path", "left_semi").select("path")
 
 
 @query("jn1_ring_clip")

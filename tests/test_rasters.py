@@ -68,6 +68,24 @@ def test_masks_that_overlap_count_once_and_either_join_agrees(spark, monkeypatch
         spatial.meets(left, masks)
 
 
+def test_the_patch_index_is_the_same_beyond_the_broadcast(spark, monkeypatch):
+    gt = [0.0, 1.0, 0.125, 500.0, 0.25, -1.0]
+    rasters = spark.createDataFrame([(f"r{i}", 120 + 9 * i, 90 + 11 * i, [40.0 * i, *gt[1:3], 500.0 - 30 * i, *gt[4:]], "", [0.0]) for i in range(4)], "path string, width int, height int, gt array<double>, wkt string, nodata array<double>")
+    masks = spark.createDataFrame([(s, 25.0 * i, 300.0 + 17 * i, 25.0 * i + 70, 300.0 + 17 * i + 90) for i in range(9) for s in ("train", "val")][:-3], "split string, x0 double, y0 double, x1 double, y1 double")
+    some = spark.createDataFrame([(f"r{i}", 1, y, x, float((x * y + i) % 3)) for i in range(4) for y in range(0, 130, 3) for x in range(0, 150, 3)], "path string, c int, y int, x int, v double")
+    config = DatasetConfig(patch_size=32, stride=16, lr_patch_size=8, bands=(1,), overlap_threshold=0.3, max_nodata_ratio=0.6)
+
+    def everything():
+        boxes = spatial.disjoint_boxes(masks)
+        rows = [dataset.patch_index(rasters, masks, some, config).select("path", "split", "x_offset", "y_offset", F.round("overlap_ratio", 9), "nodata_ratio"), spatial.valid_area(rasters, boxes).withColumn("area", F.round("area", 6)), spatial.mask_bounds(masks, rasters)]
+        return [sorted(map(tuple, r.collect())) for r in rows]
+
+    near = everything()
+    assert all(near)
+    monkeypatch.setattr(spatial, "MASK_ROWS", 0)
+    assert everything() == near
+
+
 def test_rings_are_clipped():
     ell = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)]
     assert spatial.ring_area(ell) == 7 and spatial.ring_area(spatial.clip_ring(ell, (0, 0, 2, 2))) == 3
@@ -244,7 +262,9 @@ def test_from_files_to_files(spark, tmp_path):
     patch = dataset.patch_pixels(index, rasters, own, config)
     rows = dataset.sample_rows(dataset.samples(patch, config), config).collect()
     assert len(rows) == index.count() and all(len(r.hr) == len(r.lr) == 2 * 16 * 16 and max(map(abs, r.lr)) <= 1 for r in rows)
-    assert dataset.shuffled(index, 1).count() == len(rows)
+    keys = ["path", "x_offset", "y_offset"]
+    orders = [[tuple(r) for r in dataset.shuffled(index, epoch).select(*keys).collect()] for epoch in (1, 1, 2)]
+    assert orders[0] == orders[1] != orders[2] and sorted(orders[0]) == sorted(orders[2]) and len(orders[0]) == len(rows) and orders[0] != sorted(orders[0])
 
 
 def test_settings():
