@@ -251,14 +251,15 @@ class GatedModel:
             np.add.at(total, order[np.concatenate(owner)], logp.astype(np.float64))
             states.clear(), wanted.clear(), owner.clear()
 
-        before = np.full(len(order), self.known + 1)
-        for t in range(int(lens[0])):
-            n = int(np.searchsorted(-lens, -t, "left"))  # texts longer than t
+        before, places, at = np.full(len(order), self.known + 1), np.arange(len(order)), first[:-1].copy()
+        going = len(order) - np.cumsum(np.bincount(lens))  # texts longer than t
+        for n in going[: int(lens[0])].tolist():
             h = self._step(table[before[:n]], h[:n], p["u"])[0]
-            now = target[first[:n] + t]
+            now = target[at[:n]]
+            at[:n] += 1
             states.append(h)
             wanted.append(now)
-            owner.append(np.arange(n))
+            owner.append(places[:n])
             before, have = now, have + n
             if have >= hold:
                 flush()

@@ -31,7 +31,7 @@ from gridloom.llm.scratch import Scratch
 from gridloom.llm.words import released, slices, words_of
 
 #: Words whose counts are broadcast (12 bytes each); documents the recurrent model starts from, and most bytes of one of them.
-HEAD, SAMPLE, MOST, PASS = 1 << 18, 1200, 1 << 16, 1 << 23
+HEAD, SAMPLE, MOST, PASS = 1 << 18, 1200, 1 << 16, 1 << 24
 #: Least tokens of the first round, tokens and rate of one run of a task, models averaged in one task.
 ROUND, CHUNK, RATE, FAN = 1 << 22, 1 << 19, 0.003, 64
 #: The end token's key; no word has it but by a chance of 2**-64.
@@ -64,20 +64,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class WordTable:
-    """Head words by key: rank (by count, then key) and count."""
+    """Head words by key: rank (by count, then key) and count. An index over the leading bits of keys, which are hashes, says where to look."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys)
         rank = np.empty(len(keys), np.int64)
         rank[np.lexsort((keys, -counts))] = np.arange(len(keys))
         self.keys, self.counts, self.rank = keys[order], counts[order], rank[order]
+        bits = max(1, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the table of each key, and whether it is there."""
-        if not len(self.keys):
+        n = len(self.keys)
+        if not n:
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        at = np.minimum(self.first[keys >> self.shift], n - 1)
+        there = self.keys[at] == keys
+        rest = np.flatnonzero(self.keys[at] < keys)
+        while len(rest):
+            at[rest] += 1
+            rest = rest[at[rest] < n]
+            now = self.keys[at[rest]]
+            there[rest[now == keys[rest]]] = True
+            rest = rest[now < keys[rest]]
+        return np.minimum(at, n - 1), there
 
 
 def _ids(table: WordTable, keys: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
