@@ -32,8 +32,14 @@ class LoaderConfig:
 
 @dataclass(frozen=True)
 class TrainerConfig:
+    """Epochs, batches whose gradients are one step, rate and decay of the optimiser, and steps of the chain of validation."""
+
     max_epochs: int = 100
     accumulate_grad_batches: int = 8
+    learning_rate: float = 1e-4
+    weight_decay: float = 1e-2
+    steps: int = 2000
+    seed: int = 0
 
 
 @dataclass(frozen=True)
@@ -59,7 +65,7 @@ class InferConfig:
     norm_range: tuple[float, float] | None = None
     steps: int = 2000
     precision: str = "f64"
-    predictor: str = "oracle"
+    predictor: str = "oracle"  # a name of diffusion.EXPRESSIONS, or network
 
 
 def _section(kind, values: dict | None):

@@ -49,15 +49,37 @@ def joint_step(state: DataFrame, scene: DataFrame, steps: DataFrame, t: int, sha
     return FUSIONS[config.fusion](parts)
 
 
-def denoise(pixels: DataFrame, config: InferConfig, folder: str, stop_after: int | None = None) -> DataFrame:
+def network_step(state: DataFrame, scene: DataFrame, row: dict, shape: tuple[int, int], config: InferConfig, predict) -> DataFrame:
+    """The state after the step of the schedule's line `row`, by any predictor of arrays: predict(cond, x, level)."""
+    tiles = tile_rows(state, scene, shape, config.patch_size, config.stride)
+    parts = tile_step(tiles, row, predict, sorted(config.bands), config.patch_size, config.seed + 7919 * (row["t"] + 1))
+    return FUSIONS[config.fusion](parts)
+
+
+def predictor_of(spark, weights):
+    """predict(cond, x, level) of (Shape, weights), which go to the executors once."""
+    from gridloom.operators import unet
+
+    held = spark.sparkContext.broadcast(weights)  # one file of weights
+    return lambda cond, x, level: unet.predict(held.value[1], held.value[0], cond, x, level)
+
+
+def denoise(pixels: DataFrame, config: InferConfig, folder: str, stop_after: int | None = None, weights=None, predict=None, saved=None) -> DataFrame:
     """The scene after all steps, in -1..1: c, y, x, v.
 
     Snapshots in `folder` are numbered by the next step to do. A run that finds some goes on from the
     least; a folder of other settings is refused. `stop_after` ends a run early, as an interruption would.
+    With the predictor "network" every step is predict(cond, x, level) on the arrays of tiles: that of
+    `weights`, (Shape, dict), if no other is given. saved(state, t) is called for every saved step.
     """
     spark = pixels.sparkSession
     shape = size_of(pixels)
     scene, steps = normalised(pixels, config.bands, config.norm_range), schedule(spark, config.steps, config.precision)
+    if config.predictor == "network":
+        if predict is None and weights is None:
+            raise ValueError("the network needs weights")
+        predict = predict or predictor_of(spark, weights)
+        lines = {r.t: r.asDict() for r in steps.collect()}  # a row a step
     store = Snapshots(spark, folder)
     store.describe({"config": config, "shape": shape})
     done = store.committed()
@@ -65,11 +87,13 @@ def denoise(pixels: DataFrame, config: InferConfig, folder: str, stop_after: int
     at = done[0] if done else config.steps
     held = at
     for count, t in enumerate(range(at - 1, -1, -1), 1):
-        now = joint_step(now, scene, steps, t, shape, config)
+        now = network_step(now, scene, lines[t], shape, config, predict) if config.predictor == "network" else joint_step(now, scene, steps, t, shape, config)
         if t % config.save_every == 0 or (at - t) % 8 == 0 or count == stop_after:  # lineage never grows beyond eight steps
             now = store.write(now, t)
             store.drop(held)
             held = t
+            if saved is not None and t % config.save_every == 0:
+                saved(now, t)
         if count == stop_after:
             break
     return now

@@ -44,6 +44,18 @@ def read_polygons(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(rows, SCHEMA)
 
 
+def reference_of(spark: SparkSession, root: str) -> str | None:
+    """The reference system of the layer at or below root: the text of its .prj files, None without any; different texts are an error."""
+    at = root.removesuffix(".shp") + ".prj" if root.endswith(".shp") else root
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    texts = {r.value for r in spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.prj").text(at, wholetext=True).collect()}  # a line a layer
+    if len(texts) > 1:
+        raise ValueError(f"layers below {root} have different reference systems")
+    return texts.pop().strip() if texts else None
+
+
 def write_boxes(path: str, boxes: list[tuple[float, float, float, float]], wkt: str = "") -> None:
     """A polygon layer of boxes: .shp, .shx and, with a reference system, .prj."""
     records, index, at = b"", b"", 50
