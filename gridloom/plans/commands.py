@@ -17,7 +17,7 @@ from gridloom.operators.unet import load_weights
 from gridloom.plans.config import DatasetConfig, InferConfig, load, norm_range
 from gridloom.plans.dataset import split_counts, stored_patch_index
 from gridloom.plans.denoise import as_bytes, denoise, size_of
-from gridloom.sources.tiff import block_pixels, list_rasters, read_blocks, read_headers, to_tiles, write_png, write_tiff
+from gridloom.sources.tiff import block_pixels, list_rasters, read_blocks, read_headers, read_window, to_tiles, write_png, write_tiff
 from gridloom.sources.store import fingerprint
 from gridloom.sources.vector import read_polygons, reference_of, write_boxes
 
@@ -26,10 +26,10 @@ DEMO_SIDE, DEMO_TRANSFORM = 2048, [500000.0, 1.0, 0.0, 4000000.0, 0.0, -1.0]
 DEMO_BOXES = {"train": (0, 0, 1024, 2048), "val": (1024, 0, 1536, 512), "test": (1536, 512, 1792, 768)}
 
 
-def scene(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """Pixels (c, y, x, v) and header of one raster file."""
+def scene(spark: SparkSession, path: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None) -> tuple[DataFrame, dict]:
+    """Pixels (c, y, x, v) and header of one raster file, or of a window (first row, first column, rows, columns) of it: only its tiles are read."""
     header = read_headers(spark, path).first().asDict()
-    return block_pixels(read_blocks(spark, path)).select("c", "y", "x", "v"), header
+    return read_window(spark, path, bands, *(window or ())).select("c", "y", "x", "v"), header
 
 
 def save(pixels: DataFrame, out: str, header: dict, gt: list[float] | None = None) -> None:
@@ -68,7 +68,7 @@ def infer(spark: SparkSession, path: str, out: str, config: InferConfig, checkpo
     `out` is a raster or a folder. In a folder, the state of every saved step is exported too, as
     step_<t>.tif, and the result is step_0.tif. `checkpoint` is an .npz file of weights, and needs config.predictor "network".
     """
-    pixels, header = scene(spark, path)
+    pixels, header = scene(spark, path, list(config.bands))
     folder = not out.lower().endswith((".tif", ".tiff"))
     if folder:
         os.makedirs(out, exist_ok=True)
@@ -88,7 +88,7 @@ def infer_config(settings: str | None, **options) -> InferConfig:
 
 def degrade_scene(spark: SparkSession, path: str, out: str, scale: int = 5, mask: str | None = None) -> tuple[str, str]:
     """Two rasters: the scene, cropped to the masks' bounds if there are any, and the same degraded. Returns their paths."""
-    pixels, header = scene(spark, path)
+    header = read_headers(spark, path).first().asDict()
     gt = F.array(*[F.lit(x) for x in header["gt"]])
     x0, y0, w, h = 0, 0, header["width"], header["height"]
     if mask:
@@ -98,7 +98,7 @@ def degrade_scene(spark: SparkSession, path: str, out: str, scale: int = 5, mask
         if window is None:
             raise ValueError("no mask meets the raster")
         x0, y0, w, h = window.x_off, window.y_off, window.x_size, window.y_size
-    cut = pixels.where(F.col("y").between(y0, y0 + h - 1) & F.col("x").between(x0, x0 + w - 1)).withColumns({"y": F.col("y") - y0, "x": F.col("x") - x0})
+    cut = scene(spark, path, window=(y0, x0, h, w))[0].withColumns({"y": F.col("y") - y0, "x": F.col("x") - x0})
     moved = spark.range(1).select(shifted(gt, F.lit(x0), F.lit(y0)).alias("gt")).first()["gt"]
     base = os.path.splitext(os.path.basename(path))[0]
     names = tuple(os.path.join(out, f"{base}_{kind}.tif") for kind in ("hr", "sr"))
@@ -109,9 +109,9 @@ def degrade_scene(spark: SparkSession, path: str, out: str, scale: int = 5, mask
 
 def project(spark: SparkSession, sr: str, obs: str, out: str, scale: int = 5) -> None:
     """Writes sr with the low frequencies of obs, on their common extent, first three bands."""
-    (a, header), (b, other) = scene(spark, sr), scene(spark, obs)
+    (a, header), (b, other) = scene(spark, sr, [1, 2, 3]), scene(spark, obs, [1, 2, 3])
     size = min(header["height"], other["height"]), min(header["width"], other["width"])
-    result = low_frequency_projection(a.where("c <= 3"), b.where("c <= 3"), size, scale)
+    result = low_frequency_projection(a, b, size, scale)
     save(result.withColumn("v", byte_clip(F.col("v"))), out, header)
 
 

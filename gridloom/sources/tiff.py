@@ -1,7 +1,8 @@
 """TIFF rasters with georeference: a reader for files that Spark lists, and a tile-wise writer.
 
 Reading: strips and tiles, 8 to 64 bits, none, LZW and deflate compression, either byte order,
-classic and BigTIFF, chunky and planar bands. Files come through Spark's binary source, so any
+classic and BigTIFF, chunky and planar bands. Directories and single tiles are read in parts where
+the store allows it; else files come through Spark's binary source, so any
 store that Spark reads will do. MrSID files are listed but can't be decoded here.
 """
 
@@ -11,6 +12,7 @@ import io
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -88,25 +90,40 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+class Ranges:
+    """Bytes of a file by place and length: of bytes in memory, or of an open file, of which only what is asked for is read."""
+
+    def __init__(self, source):
+        self.source, self.whole = source, isinstance(source, (bytes, bytearray, memoryview))
+
+    def __call__(self, at: int, size: int) -> bytes:
+        if self.whole:
+            return bytes(self.source[at : at + size])
+        self.source.seek(at)
+        return self.source.read(size)
+
+
 class Tiff:
-    """The first image of a file. band(i) gives a 2-D array; header() what a catalogue needs."""
+    """The first image of a file, of its bytes or opened. Its directory is read by itself; tiles are decoded one by one."""
 
-    def __init__(self, content: bytes):
-        order = {b"II": "<", b"MM": ">"}.get(content[:2])
+    def __init__(self, source):
+        read = self.read = Ranges(source)
+        head = read(0, 16)
+        order = {b"II": "<", b"MM": ">"}.get(head[:2])
         if order is None:
             raise ValueError("not a TIFF file")
-        self.order, self.content = order, content
-        big = struct.unpack(order + "H", content[2:4])[0] == 43
-        at = struct.unpack(order + ("Q" if big else "I"), content[8:16] if big else content[4:8])[0]
-        n = struct.unpack_from(order + ("Q" if big else "H"), content, at)[0]
-        at, self.tags = at + (8 if big else 2), {}
+        self.order = order
+        big = struct.unpack(order + "H", head[2:4])[0] == 43
+        at = struct.unpack(order + ("Q" if big else "I"), head[8:16] if big else head[4:8])[0]
+        n = struct.unpack(order + ("Q" if big else "H"), read(at, 8 if big else 2))[0]
+        long = 20 if big else 12
+        entries, self.tags = read(at + (8 if big else 2), n * long), {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + ("HHQ" if big else "HHI"), content, at + k * (20 if big else 12))
-            slot = at + k * (20 if big else 12) + (12 if big else 8)
+            tag, kind, count = struct.unpack_from(order + ("HHQ" if big else "HHI"), entries, k * long)
+            slot = k * long + (12 if big else 8)
             size = TYPE_SIZES.get(kind, 1) * count
-            if size > (8 if big else 4):
-                slot = struct.unpack_from(order + ("Q" if big else "I"), content, slot)[0]
-            self.tags[tag] = content[slot : slot + count].rstrip(b"\0").decode("latin-1") if kind == 2 else struct.unpack_from(f"{order}{count}{TYPE_CODES[kind]}", content, slot) if kind in TYPE_CODES else content[slot : slot + size]
+            raw = read(struct.unpack_from(order + ("Q" if big else "I"), entries, slot)[0], size) if size > (8 if big else 4) else entries[slot : slot + size]
+            self.tags[tag] = raw.rstrip(b"\0").decode("latin-1") if kind == 2 else struct.unpack(f"{order}{count}{TYPE_CODES[kind]}", raw) if kind in TYPE_CODES else raw
         one = lambda tag, default: (self.tags.get(tag) or (default,))[0]
         self.width, self.height, self.bands = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
         self.planar, self.compression, self.predictor = one(PLANAR, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
@@ -123,28 +140,52 @@ class Tiff:
         nodata = self.tags.get(NODATA)
         return self.width, self.height, self.bands, self.dtype.name, [float(x) for x in gt], self.tags.get(GEO_TEXT, ""), [float(nodata)] * self.bands if nodata else None
 
-    def array(self) -> np.ndarray:
-        """(bands, height, width)."""
+    def tiles(self) -> list[tuple[int, int, int, int, int, int, int]]:
+        """Of every stored tile or strip: plane (-1: all bands), first row, first column, rows and columns inside the image, place and size in the file."""
         tiled = TILES in self.tags
         th, tw = (self.tags[TILE_HEIGHT][0], self.tags[TILE_WIDTH][0]) if tiled else (min((self.tags.get(STRIP_ROWS) or (self.height,))[0], self.height), self.width)
         starts, sizes = (self.tags[TILES], self.tags[TILE_BYTES]) if tiled else (self.tags[STRIPS], self.tags[STRIP_BYTES])
-        across, down = -(-self.width // tw), -(-self.height // th)
-        out = np.zeros((self.bands, self.height, self.width), self.dtype)
-        depth = 1 if self.planar == 2 else self.bands
+        across, down, out = -(-self.width // tw), -(-self.height // th), []
         for k, (at, size) in enumerate(zip(starts, sizes, strict=True)):
-            plane, cell = divmod(k, across * down) if self.planar == 2 else (0, k)
+            plane, cell = divmod(k, across * down) if self.planar == 2 else (-1, k)
             y, x = cell // across * th, cell % across * tw
-            rows = th if tiled else min(th, self.height - y)
-            raw = self.content[at : at + size]
-            raw = {1: lambda b: b, 5: lzw_decode, 8: zlib.decompress, 32946: zlib.decompress}[self.compression](raw)
-            block = np.frombuffer(raw[: rows * tw * depth * self.dtype.itemsize], self.dtype.newbyteorder(self.order)).reshape(rows, tw, depth).astype(self.dtype)
-            if self.predictor == 2:
-                block = np.cumsum(block, axis=1, dtype=self.dtype)
-            h, w = min(rows, self.height - y), min(tw, self.width - x)
-            own = slice(plane, plane + 1) if self.planar == 2 else slice(None)
-            out[own, y : y + h, x : x + w] = block[:h, :w].transpose(2, 0, 1)
+            out.append((plane, y, x, min(th, self.height - y), min(tw, self.width - x), at, size))
         return out
 
+    def decode(self, tile: tuple[int, int, int, int, int, int, int]) -> np.ndarray:
+        """(bands of the tile, rows, columns) of one of tiles()."""
+        plane, y, _, h, w, at, size = tile
+        tiled, depth = TILES in self.tags, 1 if plane >= 0 else self.bands
+        rows, tw = (self.tags[TILE_HEIGHT][0], self.tags[TILE_WIDTH][0]) if tiled else (h, self.width)
+        raw = {1: lambda b: b, 5: lzw_decode, 8: zlib.decompress, 32946: zlib.decompress}[self.compression](self.read(at, size))
+        block = np.frombuffer(raw[: rows * tw * depth * self.dtype.itemsize], self.dtype.newbyteorder(self.order)).reshape(rows, tw, depth).astype(self.dtype)
+        if self.predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=self.dtype)
+        return block[:h, :w].transpose(2, 0, 1)
+
+    def array(self) -> np.ndarray:
+        """(bands, height, width)."""
+        out = np.zeros((self.bands, self.height, self.width), self.dtype)
+        for tile in self.tiles():
+            plane, y, x, h, w, _, _ = tile
+            out[slice(plane, plane + 1) if plane >= 0 else slice(None), y : y + h, x : x + w] = self.decode(tile)
+        return out
+
+
+@contextmanager
+def opened(path: str):
+    """A file of any store that Arrow's file systems reach, open for reading parts of it."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if not path.startswith("file:") else "file://" + path[5:])
+    with store.open_input_file(name) as file:
+        yield file
+
+
+def reads_ranges(path: str) -> bool:
+    """Whether opened() can read such a path; other stores are read through Spark, whole files at a time."""
+    return path.split(":", 1)[0] in ("file", "hdfs", "s3", "s3a", "gs") if ":" in path else True
+
 
 def list_rasters(spark: SparkSession, root: str) -> DataFrame:
     """path, modificationTime, length of raster files below root, sorted by path; an error where there are none."""
@@ -154,19 +195,86 @@ def list_rasters(spark: SparkSession, root: str) -> DataFrame:
     return found.orderBy("path")
 
 
+def _files(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tif,tiff}").load(root).select(*columns)
+
+
 def _content(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tif,tiff}").load(root).select("path", "content")
+    return _files(spark, root, "path", "content")
+
+
+def _read(spark: SparkSession, root: str) -> DataFrame:
+    """path of files to be read in parts, or path and content where their store can't be."""
+    return _files(spark, root, "path") if reads_ranges(root) else _content(spark, root)
+
+
+@contextmanager
+def _image(path: str, content):
+    if content is not None:
+        yield Tiff(content)
+    else:
+        with opened(path) as file:
+            yield Tiff(file)
 
 
 def read_headers(spark: SparkSession, root: str) -> DataFrame:
-    """The catalogue of rasters below root."""
+    """The catalogue of rasters below root. Of a file only its directory is read, where the store allows."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [(p, *Tiff(c).header()) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            made = []
+            for path, content in zip(pdf["path"], pdf.get("content", [None] * len(pdf)), strict=True):
+                with _image(path, content) as image:
+                    made.append((path, *image.header()))
             yield pd.DataFrame(made, columns=[c.split()[0] for c in HEADER.split(", ")])
 
-    return _content(spark, root).mapInPandas(rows, HEADER)
+    return _read(spark, root).mapInPandas(rows, HEADER)
+
+
+TILE = "path string, plane int, y int, x int, h int, w int, at long, size long"
+
+
+def tile_index(spark: SparkSession, root: str) -> DataFrame:
+    """A row a stored tile or strip of the rasters below root: its plane (-1: all bands), place in the image, and place in the file."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf.get("content", [None] * len(pdf)), strict=True):
+                with _image(path, content) as image:
+                    yield pd.DataFrame([(path, *t) for t in image.tiles()], columns=[c.split()[0] for c in TILE.split(", ")])
+
+    return _read(spark, root).mapInPandas(rows, TILE)
+
+
+def read_window(spark: SparkSession, root: str, bands: list[int] | None = None, y0: int = 0, x0: int = 0, height: int | None = None, width: int | None = None, tasks: int | None = None) -> DataFrame:
+    """path, c (from 1), y, x, v: pixels of a window of the rasters below root, in the coordinates of the raster.
+
+    The tiles that meet the window, in the bands asked for, are found in the directories; only these
+    are read and decoded, a tile at a time, by as many tasks as Spark has for an exchange.
+    """
+    y1, x1 = 1 << 31 if height is None else y0 + height, 1 << 31 if width is None else x0 + width
+    wanted = tile_index(spark, root).where((F.col("y") < y1) & (F.col("y") + F.col("h") > y0) & (F.col("x") < x1) & (F.col("x") + F.col("w") > x0))
+    if bands is not None:
+        wanted = wanted.where((F.col("plane") < 0) | (F.col("plane") + 1).isin(*bands))
+    if not reads_ranges(root):  # whole files come through Spark: their pixels are cut to the window
+        rows = block_pixels(read_blocks(spark, root)).where(F.col("y").between(y0, y1 - 1) & F.col("x").between(x0, x1 - 1))
+        return rows.where(F.col("c").isin(*bands)) if bands is not None else rows
+
+    def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, own in pdf.groupby("path", sort=False):
+                with opened(path) as file:
+                    image = Tiff(file)
+                    for t in own.itertuples(index=False):
+                        block = image.decode((t.plane, t.y, t.x, t.h, t.w, t.at, t.size))
+                        ya, yb, xa, xb = max(y0, t.y) - t.y, min(y1, t.y + t.h) - t.y, max(x0, t.x) - t.x, min(x1, t.x + t.w) - t.x
+                        y, x = (v.ravel().astype(np.int32) for v in np.mgrid[t.y + ya : t.y + yb, t.x + xa : t.x + xb])
+                        for k, band in enumerate(block[:, ya:yb, xa:xb]):
+                            c = (t.plane if t.plane >= 0 else k) + 1
+                            if bands is None or c in bands:
+                                yield pd.DataFrame({"path": path, "c": np.int32(c), "y": y, "x": x, "v": band.ravel().astype(np.float64)})
+
+    return wanted.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "plane", "y", "x").mapInPandas(pixels, "path string, c int, y int, x int, v double")
 
 
 def read_blocks(spark: SparkSession, root: str, block: int = 256) -> DataFrame:

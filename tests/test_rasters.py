@@ -231,6 +231,28 @@ def test_classic_strips_and_lzw():
     assert np.array_equal(tiff.Tiff(raw).array()[0], body)
 
 
+def test_windows_read_their_tiles_alone(spark, tmp_path, monkeypatch):
+    scene = pixels(spark, 70, 90, lambda c, y, x: (c * y * x + x) % 256, (1, 2, 3))
+    out = str(tmp_path / "a.tif")
+    tiff.write_tiff(tiff.to_tiles(scene, 32), out, 70, 90, 3, [0.0, 1.0, 0.0, 0.0, 0.0, -1.0], "", 32)
+    index = tiff.tile_index(spark, out)
+    assert index.count() == 9 and index.agg(F.sum(F.col("h") * F.col("w"))).first()[0] == 70 * 90
+    got = tiff.read_window(spark, out, [3, 1], 30, 60, 5, 8)
+    want = scene.where("c <> 2 and y between 30 and 34 and x between 60 and 67")
+    assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(map(tuple, want.collect())) and want.count() == 80
+    data, asked = open(out, "rb").read(), []
+    real = tiff.Ranges.__call__
+    monkeypatch.setattr(tiff.Ranges, "__call__", lambda self, at, size: asked.append(size) or real(self, at, size))
+    with tiff.opened(out) as file:
+        image_ = tiff.Tiff(file)
+        assert image_.header()[:3] == (90, 70, 3) and sum(asked) < 1500
+        one = image_.tiles()[4]
+        assert np.array_equal(image_.decode(one), tiff.Tiff(data).array()[:, 32:64, 32:64])
+    monkeypatch.setattr(tiff, "reads_ranges", lambda path: False)
+    assert sorted(tuple(r)[1:] for r in tiff.read_window(spark, out, [3, 1], 30, 60, 5, 8).select("path", "c", "y", "x", "v").collect()) == sorted(map(tuple, want.collect()))
+    assert tiff.read_headers(spark, out).first().width == 90
+
+
 def test_nothing_to_read_is_an_error(spark, tmp_path):
     (tmp_path / "x.txt").write_text("")
     with pytest.raises(ValueError):
