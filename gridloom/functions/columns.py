@@ -37,6 +37,22 @@ def box_of(gt: Column, x: Column, y: Column, width: Column, height: Column) -> d
     return {"minx": F.least(*xs), "miny": F.least(*ys), "maxx": F.greatest(*xs), "maxy": F.greatest(*ys)}
 
 
+def pixel_box(gt: Column, x0: int, y0: int, x1: int, y1: int) -> dict[str, Column]:
+    """A rectangle of pixels as a mask box in map coordinates, from two of its corners."""
+    (ax, ay), (bx, by) = (to_geo(F.lit(x), F.lit(y), gt) for x, y in ((x0, y0), (x1, y1)))
+    return {"x0": F.least(ax, bx), "y0": F.least(ay, by), "x1": F.greatest(ax, bx), "y1": F.greatest(ay, by)}
+
+
+def file_name(path: Column) -> Column:
+    """What follows the last slash."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def base_name(path: Column) -> Column:
+    """The file's name without its extension."""
+    return F.regexp_replace(file_name(path), "[.][^.]*$", "")
+
+
 def window_of(bounds: Sequence[Column], gt: Column, width: Column, height: Column, cover: bool = False) -> dict[str, Column]:
     """Pixel window of map bounds (minx, miny, maxx, maxy) in a north-up raster.
 

@@ -88,6 +88,16 @@ def reverse_step(rows: DataFrame, steps: DataFrame, predicted: Column, z: Column
     return joined.select("r.*", x0.alias("x0"), posterior_mean(x0, F.col("r.x")).alias("mu"), noise_term(z).alias("n"))
 
 
+def reverse_sample(rows: DataFrame, steps: DataFrame, predicted: Column, z: Column) -> DataFrame:
+    """reverse_step() with `sample`, its mean and noise together."""
+    return reverse_step(rows, steps, predicted, z).withColumn("sample", F.col("mu") + F.col("n"))
+
+
+def stacked(cond: DataFrame, state: DataFrame, bands: int) -> DataFrame:
+    """The input of a predictor as pixels: the condition's bands, then those of the state with numbers beyond them."""
+    return cond.select("c", "y", "x", "v").unionByName(state.select((F.col("c") + bands).alias("c"), "y", "x", "v"))
+
+
 def oracle_noise(cond: Column, x: Column, row: str = "s") -> Column:
     """The closed-form predictor that takes the condition for the clean value."""
     return (x - F.col(f"{row}.sqrt_acp") * cond) / F.col(f"{row}.sqrt_1m")

@@ -104,6 +104,11 @@ def overview(pixels: DataFrame, level: int, byte: bool = False) -> DataFrame:
     return pixels.groupBy("c", F.expr(f"y div {level}").cast("int").alias("oy"), F.expr(f"x div {level}").cast("int").alias("ox")).agg(mean.alias("v"))
 
 
+def mean_scale(width: Column, height: Column, ow: Column, oh: Column) -> Column:
+    """The scale of an overview of ow x oh cells: the mean of those of its two axes."""
+    return (width / ow + height / oh) / 2
+
+
 def choose_overview(levels: DataFrame, target: float = 16) -> DataFrame:
     """Of levels (path, level, scale) the one of each path whose scale is nearest the target; the first of equals.
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import is_nodata, signed_unit
 from gridloom.operators import spatial
-from gridloom.operators.resample import area_weights, cubic_weights
+from gridloom.operators.resample import area_weights, cubic_weights, overview
 from gridloom.plans.config import DatasetConfig
-from gridloom.sources.store import cached
+from gridloom.sources.store import Snapshots, cached
+
+#: The levels of a pyramid.
+LEVELS = (8, 16, 32)
 
 
 def nodata_of(rasters: DataFrame, band: int, fallback: float | None = None) -> DataFrame:
@@ -95,7 +98,21 @@ def sample_rows(pairs: DataFrame, config: DatasetConfig) -> DataFrame:
 
 def shuffled(index: DataFrame, epoch: int, seed: int = 0) -> DataFrame:
     """The index in an order that depends on its keys, the seed and the epoch."""
-    return index.orderBy(F.xxhash64("path", "x_offset", "y_offset", F.lit(seed), F.lit(epoch)), "path", "x_offset", "y_offset")
+    return index.orderBy(F.md5(F.concat_ws("|", "path", "x_offset", "y_offset", F.lit(seed), F.lit(epoch)).cast("binary")), "path", "x_offset", "y_offset")
+
+
+def stored_pyramid(spark: SparkSession, root: str, pixels: DataFrame, levels: tuple[int, ...] = LEVELS, byte: bool = False) -> DataFrame:
+    """level, c, oy, ox, v: overviews of a scene below root, each made once; the scene is not changed.
+
+    A level that is a multiple of another could be made from it, but bytes are rounded once, from pixels.
+    """
+    store = Snapshots(spark, root, "level")
+    out = None
+    for level in levels:
+        own = store.read(level) if level in store.committed() else store.write(overview(pixels, level, byte), level)
+        own = own.select(F.lit(level).alias("level"), "c", "oy", "ox", "v")
+        out = own if out is None else out.union(own)
+    return out
 
 
 def latest(files: DataFrame) -> DataFrame:

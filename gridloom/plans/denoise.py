@@ -11,15 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import byte_of_signed, gaussian, signed_unit
 from gridloom.operators.diffusion import EXPRESSIONS, initial_state, reverse_step, schedule
-from gridloom.operators.fusion import FUSIONS
+from gridloom.operators.fusion import FUSIONS, geometry_maps
 from gridloom.operators.tiling import covered
 from gridloom.plans.config import InferConfig
-from gridloom.sources.store import Snapshots
+from gridloom.sources.store import Snapshots, cached
 
 
 def size_of(pixels: DataFrame) -> tuple[int, int]:
@@ -49,6 +49,19 @@ def joint_step(state: DataFrame, scene: DataFrame, steps: DataFrame, t: int, sha
     return FUSIONS[config.fusion](parts)
 
 
+def is_saved(t: Column | int, every: int) -> Column | bool:
+    """Whether the state of a step is one to save: every `every` steps, and the last, 0, always."""
+    return t % every == 0
+
+
+def stored_maps(spark: SparkSession, root: str, shape: tuple[int, int], size: int, stride: int) -> DataFrame:
+    """y, x, wsum, w2sum of every pixel of a scene's grid, made once for a tiling. Fusion doesn't need them; other readers may."""
+    h, w = shape
+    grid = spark.range(h * w).select(F.expr(f"cast(id div {w} as int)").alias("y"), F.expr(f"cast(id % {w} as int)").alias("x"))
+    about = {"shape": shape, "size": size, "stride": stride}
+    return cached(spark, root, about, lambda: geometry_maps(covered(grid, h, w, size, stride)))
+
+
 def network_step(state: DataFrame, scene: DataFrame, row: dict, shape: tuple[int, int], config: InferConfig, predict) -> DataFrame:
     """The state after the step of the schedule's line `row`, by any predictor of arrays: predict(cond, x, level)."""
     tiles = tile_rows(state, scene, shape, config.patch_size, config.stride)
@@ -88,11 +101,11 @@ def denoise(pixels: DataFrame, config: InferConfig, folder: str, stop_after: int
     held = at
     for count, t in enumerate(range(at - 1, -1, -1), 1):
         now = network_step(now, scene, lines[t], shape, config, predict) if config.predictor == "network" else joint_step(now, scene, steps, t, shape, config)
-        if t % config.save_every == 0 or (at - t) % 8 == 0 or count == stop_after:  # lineage never grows beyond eight steps
+        if is_saved(t, config.save_every) or (at - t) % 8 == 0 or count == stop_after:  # lineage never grows beyond eight steps
             now = store.write(now, t)
             store.drop(held)
             held = t
-            if saved is not None and t % config.save_every == 0:
+            if saved is not None and is_saved(t, config.save_every):
                 saved(now, t)
         if count == stop_after:
             break

@@ -285,7 +285,8 @@ def raster_semi_join(spark, sf_dir):
     return h.join(spatial.meeting(h, masks(spark, sf_dir)).select("path").distinct(), "path", "left_semi").select("path")
 
 
-@query("jn1_ring_clip")
+# the ring is two rectangles, so its part in a box is known without clipping
+@query("jn1_ring_clip", f"WITH {_HEAD}, ext AS (SELECT path, {_box('0', '0', 'width', 'height')} FROM head), two(x0, y0, x1, y1) AS (VALUES (500100, 3999300, 502900, 3999700), (500100, 3999700, 501500, 4000000)) SELECT path, round(sum({_SHARED}), 6) AS area FROM ext, two GROUP BY path")
 def ring_clip(spark, sf_dir):
     ring = F.array(*[F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y")) for x, y in ((500100, 3999300), (502900, 3999300), (502900, 3999700), (501500, 3999700), (501500, 4000000), (500100, 4000000))])
     pairs = spatial.with_extent(headers(spark, sf_dir)).select("path", ring.alias("ring"), "minx", "miny", "maxx", "maxy")
@@ -479,7 +480,22 @@ def common_extent(spark, sf_dir):
     return a.join(b, ["y", "x"]).select("y", "x", F.round(F.col("v") - F.col("o"), 6).alias("gap"))
 
 
-@query("sc17_synthetic_scene")
+def _fractal(name: str, bands: int, seed: int, size: int = 64, octaves: int = 4) -> str:
+    """SQL of keyed noise on grids of 4, 8, 16 ... cells, resized, halved in strength, summed and brought to 0..1."""
+    parts = []
+    for k in range(octaves):
+        n = 1 << (k + 2)
+        parts.append(f"{name}w{k} AS (WITH {_cubic('t', str(n), str(size))} SELECT * FROM t)")
+        parts.append(f"{name}g{k} AS (SELECT c, y, x, {_noise(['c', 'y', 'x'], seed + k)} * {0.5**k} AS v FROM range(1, {bands + 1}) a(c), range({n}) b(y), range({n}) d(x))")
+        parts.append(_two(f"{name}u{k}", f"{name}g{k}", f"{name}w{k}", f"{name}w{k}"))
+    total = " UNION ALL ".join(f"SELECT * FROM {name}u{k}" for k in range(octaves))
+    return ",\n".join(parts) + f",\n{name}s AS (SELECT c, y, x, sum(v) AS v FROM ({total}) GROUP BY c, y, x),\n{name} AS (SELECT c, y, x, (v - min(v) OVER (PARTITION BY c)) / (max(v) OVER (PARTITION BY c) - min(v) OVER (PARTITION BY c)) AS v FROM {name}s)"
+
+
+_SYNTHETIC = f"WITH dim AS (SELECT 1 AS one), {_fractal('shape', 1, 0)},\n{_fractal('own', 3, 100)}"
+
+
+@query("sc17_synthetic_scene", f"{_SYNTHETIC} SELECT CAST(own.c AS INT) AS c, own.y, own.x, round_even(least(greatest((0.75 * shape.v + 0.25 * own.v) * [1.00, 0.92, 0.78][own.c] * 255, 20.0), 235.0), 0) AS v FROM own JOIN shape ON own.y = shape.y AND own.x = shape.x")
 def synthetic(spark, sf_dir):
     return resample.synthetic_scene(spark, 64, octaves=4)
 
@@ -626,3 +642,7 @@ def unet_forward(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Tiles, weights, variance-preserving fusion and bytes in one plan without a join or a Python worker."""
     return denoise.as_bytes(fusion.fuse_variance_preserving(_parts(spark, sf_dir)))
+
+
+# queries of files and of the network's parts, which use those above
+from gridloom.plans import file_queries, kernel_queries  # noqa: E402, F401

@@ -112,13 +112,12 @@ def fit_epoch(samples: DataFrame, steps: DataFrame, optimiser: Optimiser, epoch:
     return out
 
 
-def validate(samples: DataFrame, steps: DataFrame, weights: np.ndarray, config: Config, most: int = SHOWN) -> tuple[float, DataFrame]:
-    """Mean |made - target| over the whole reverse chain of the first samples, and their pixels: sample (from 0), c, i, j, lr, made, hr."""
-    p, bands = config.dataset.patch_size, len(config.dataset.bands)
+def validate(samples: DataFrame, steps: DataFrame, predict, shape: tuple[int, int, int], seed: int = 0, most: int = SHOWN) -> tuple[float, DataFrame]:
+    """Mean |made - target| over the whole reverse chain of the first samples (sample, c, y, x, v, cond), of a shape, and their pixels: sample (from 0), c, i, j, lr, made, hr."""
     first = [r[0] for r in samples.select("sample").distinct().orderBy("sample").limit(most).collect()]
     own = samples.where(F.col("sample").isin(first))
     rows = own.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("c", "y", "x", "cond", "v"))).alias("cells"))  # a patch a row
-    made = sample_chain(rows.select("sample", F.col("cells.cond").alias("cond")), steps, predictor(weights), (bands, p, p), config.trainer.seed)
+    made = sample_chain(rows.select("sample", F.col("cells.cond").alias("cond")), steps, predict, shape, seed)
     both = rows.join(made, "sample").select("sample", F.posexplode(F.arrays_zip("cells", "made")).alias("k", "z"))
     number = F.array_position(F.lit(first), F.col("sample")).cast("int") - 1 if first else F.lit(0)
     images = both.select(number.alias("sample"), F.col("z.cells.c").alias("c"), F.col("z.cells.y").alias("i"), F.col("z.cells.x").alias("j"), F.col("z.cells.cond").alias("lr"), F.col("z.made").alias("made"), F.col("z.cells.v").alias("hr"))
@@ -155,10 +154,10 @@ def train(spark: SparkSession, config: Config, resume: str | None = None) -> dic
 
     def checked(split: str, epoch: int) -> None:
         if split in splits and not splits[split].isEmpty():
-            loss, images = validate(splits[split], steps, optimiser.weights, config)
+            p = config.dataset.patch_size
+            loss, images = validate(splits[split], steps, predictor(optimiser.weights), (len(config.dataset.bands), p, p), config.trainer.seed)
             note([(epoch, optimiser.steps, f"{split}_l1", float(loss))])
-            size = config.dataset.patch_size + 2
-            grid = dataset.comparison_grid(images, config.dataset.patch_size)
+            size, grid = p + 2, dataset.comparison_grid(images, p)
             os.makedirs(root, exist_ok=True)
             write_png(grid.withColumn("v", F.col("v") * 255), f"{root}/{split}-{epoch}.png", SHOWN * size + 2, 3 * size + 2)
 
