@@ -63,14 +63,15 @@ def segments_of(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int)
     g = grams(hashes, anchor)
     if len(g) < span:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.arange(len(g))
+    # places count from the beginning of the document, so that its segments don't depend on what lies before it
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(g)]
+    place = np.arange(len(g)) - first[doc]
     least = _run((g & ~np.uint64(255)) | (place & 255).astype(np.uint64), span, np.minimum)
-    place = place[: len(least)]
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(least)]
-    ok = np.flatnonzero(place + window <= first[1:][doc])
+    doc, place = doc[: len(least)], place[: len(least)]
+    ok = np.flatnonzero(np.arange(len(least)) + window <= first[1:][doc])
     if not len(ok):
         return np.zeros(0, np.uint64), ok, ok, ok
-    at = ok + (((least[ok] & np.uint64(255)).astype(np.int64) - ok) & 255)
+    at = ok + (((least[ok] & np.uint64(255)).astype(np.int64) - place[ok]) & 255)
     new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (doc[ok][1:] != doc[ok][:-1])))
     return least[ok][new] >> np.uint64(8), ok[new], np.diff(np.append(new, len(ok))), doc[ok][new]
 

@@ -1,12 +1,14 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import near_dedup, substring_dedup
 from gridloom.llm.graph import components
 from gridloom.llm.near_dedup import UnionFind
 from gridloom.llm.scratch import Scratch
+from gridloom.llm.words import words_of
 from tests.llm.helpers import SCHEMA, clashing, corpus, words
 
 
@@ -59,6 +61,20 @@ def test_rows_of_one_doc_id_lose_their_own_words(spark, parts):
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs, Scratch(spark, "t")).collect()) == want
 
 
+def test_segments_of_a_document_depend_on_it_alone():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 400))) for _ in range(60)] + [" ".join(["x y"] * 300), "z " * 700, " ".join(f"u{i % 30}" for i in range(900))]
+    alone = []
+    for k, text in enumerate(texts):
+        w = words_of(pa.array([text]))
+        h, at, n, _ = substring_dedup.segments_of(w.hashes, w.first, 50, 12)
+        alone += [(k, *map(int, r)) for r in zip(h, at, n, strict=True)]
+        assert n.sum() == max(0, len(w.hashes) - 49) and (n <= 39).all()
+    w = words_of(pa.array(texts))
+    h, at, n, doc = substring_dedup.segments_of(w.hashes, w.first, 50, 12)
+    assert [(int(d), int(a), int(b) - int(w.first[d]), int(c)) for d, a, b, c in zip(doc, h, at, n, strict=True)] == alone
+
+
 def grouped(rows):
     sets = {}
     for r in rows:
