@@ -193,16 +193,14 @@ def _bucketed(slots: int, least: int):
 
 
 def _full_sets(k: int):
-    """Full sets (cid, set) of rows (cid, c1, c2, text) whose text has the class that is asked for."""
+    """Classes and full sets (c1, c2, set) of rows (text)."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1 << 20):
-                sets, first = shingle_sets(words_of(part.column(3), True), k)
-                c1, c2 = _class_of(sets, first)
-                own = np.flatnonzero((c1 == part.column(1).to_numpy()) & (c2 == part.column(2).to_numpy()))
-                data = pa.array([sets[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), data], ["cid", "set"])
+                sets, first = shingle_sets(words_of(part.column(0), True), k)
+                data = pa.array([sets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _class_of(sets, first)), data], ["c1", "c2", "set"])
 
     return out
 
@@ -260,8 +258,10 @@ def _cut(rows: DataFrame, block: int, room: int, name: str) -> DataFrame:
 def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch: Scratch, shingle: int, link, block: int, room: int) -> DataFrame:
     """Links (u, v) between classes of one cluster; they connect what all links of a cluster would."""
     members = clusters.join(classes.select("cid", "doc", "c1", "c2", "n_shingles"), "cid")
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null")
-    sets = members.select("cid", "doc", "c1", "c2").join(texts, "doc").select("cid", "c1", "c2", "text").mapInArrow(released(_full_sets(shingle)), "cid long, set binary").dropDuplicates(["cid"])
+    # texts meet no more than the ids of members; which of an id's texts has a member's class is told after
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(members.select("doc"), "doc", "left_semi").select("text")
+    sets = texts.mapInArrow(released(_full_sets(shingle)), "c1 long, c2 long, set binary").dropDuplicates(["c1", "c2"])
+    sets = sets.join(members.select("cid", "c1", "c2"), ["c1", "c2"]).select("cid", "set")
     members = scratch.keep(_cut(members.select("cluster", "cid", "n_shingles"), block, room, "block"), "members")
     of = lambda rows: rows.groupBy("cluster", "meeting").applyInPandas(link, "u long, v long")
     large = members.where("block > 0").select("cluster").distinct()
