@@ -162,7 +162,8 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """The rows of docs whose text has a language: those that identify() calls `und` go.
 
-    Where nothing was learned (model is None), every text that has a letter stays.
+    These are, by the definition of `und`, texts without a letter; a model predicts some language for any other, and no clean
+    document is to go for a language that is little sure. Where nothing was learned (model is None), every text that has a letter stays.
     """
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     if model is None:

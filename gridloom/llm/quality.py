@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.sampling import bounded, held_out
 from gridloom.llm.words import released, slices, text_bytes
 
-#: Most labelled documents of either label that training takes, and bytes of a dictionary.
-SAMPLE, DICTIONARY, LEVEL, CUT = 2000, 96 * 1024, 3, 0.7
+#: Most labelled documents of the rarer label that training takes, most bytes of one of them, and bytes of a dictionary.
+SAMPLE, MOST, DICTIONARY, LEVEL, CUT = 2000, 1 << 16, 96 * 1024, 3, 0.7
 #: Bytes of a text that are compressed by themselves, the last block of a text may have fewer; of a training sample; least bytes of a dictionary.
 BLOCK, PIECE, LEAST = 4096, 512, 256
 
@@ -103,18 +103,19 @@ def fit(texts: list[bytes], labels: np.ndarray, size: int = DICTIONARY) -> Compr
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CompressionModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> CompressionModel:
     """Learns from labels.quality (0 or 1) of rows that are not held out. A document labelled twice counts once, with its least label.
 
     `sample` bounds the rows of the rarer label; the other is sampled at the same rate, so that
-    the curve sees the labels in their own proportions.
+    the curve sees the labels in their own proportions. Texts of more than `most` bytes are not in
+    the sample, so that what the driver gathers has a bound; they are judged whole like any other.
     """
     own = labels.where(F.col("quality").isin(0, 1) & ~held_out(4, 2) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r[0]: r[1] for r in own.groupBy("quality").count().collect()}
     rate = min(1.0, sample / max(1, min(counts.values(), default=1)), 5 * sample / max(1, sum(counts.values())))
     ids = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < rate)
     # at most about 5 * sample ids, whatever the size of the tables
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    got = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most).join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit([x.encode() for x in got.column("text").to_pylist()], np.asarray(got.column("quality").to_pylist(), np.int64))
 
 

@@ -3,19 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, a single machine) a temporary folder, which the setting then names."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from gridloom.sources.store import work_folder
 
 
 class Scratch:
@@ -25,7 +17,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
     def _delete(self, path: str) -> None:

@@ -24,14 +24,28 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that can meet a URL: suffixes of its host, and the host with each prefix of its path."""
+def patterns_of(url: Column, labels: int | None = None, steps: int | None = None) -> Column:
+    """All patterns that can meet a URL: suffixes of its host, and the host with each prefix of its path.
+
+    No pattern of the list has more labels or path steps than `labels` and `steps`; longer ones are left out, so
+    that a very long host or path doesn't make bytes that grow with its square.
+    """
     host = host_of(url)
-    labels = F.split(host, "\\.")
-    steps = F.filter(F.split(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit("")), "/"), lambda s: s != "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(host != "", F.array_distinct(F.concat(suffixes, prefixes))).otherwise(F.array().cast("array<string>"))
+    parts = F.split(host, "\\.")
+    path = F.filter(F.split(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit("")), "/"), lambda s: s != "")
+    first = F.lit(1) if labels is None else F.greatest(F.lit(1), F.size(parts) - labels + 1)
+    deep = F.size(path) if steps is None else F.least(F.size(path), F.lit(steps))
+    none = F.array().cast("array<string>")
+    suffixes = F.when(first <= F.size(parts), F.transform(F.sequence(first, F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).otherwise(none)
+    prefixes = F.when(deep > 0, F.transform(F.sequence(F.lit(1), deep), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(path, F.lit(1), i), "/")))).otherwise(none)
+    return F.when(host != "", F.array_distinct(F.concat(suffixes, prefixes))).otherwise(none)
+
+
+def reach(entries: DataFrame) -> tuple[int, int]:
+    """Most labels of a host and most path steps of a pattern of the list."""
+    steps = F.size(F.split("pattern", "/")) - 1
+    labels = F.size(F.split(F.substring_index("pattern", "/", 1), "\\."))
+    return tuple(x or 0 for x in entries.where("pattern is not null").agg(F.max(labels), F.max(steps)).first())
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -53,7 +67,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     are left out. An empty list leaves every capture with `none`.
     """
     own = captures.select("page_id", "url", "fetched").distinct()
-    asked = own.withColumn("pattern", F.explode(patterns_of(F.col("url"))))
+    asked = own.withColumn("pattern", F.explode(patterns_of(F.col("url"), *reach(entries))))
     met = asked.join(intervals(entries), "pattern").where("valid_from <= fetched and (valid_to is null or fetched < valid_to)")
     best = met.groupBy("page_id", "url", "fetched").agg(F.max(F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("allow"), "pattern", "kind", "valid_from")).alias("best"))
     keys = ["page_id", "url", "fetched"]

@@ -62,7 +62,7 @@ def test_sketches_of_parts_merge_to_that_of_the_whole(spark):
     for k in range(120):
         w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 4, 5, 9, 30, 400]))]
         cut = rng.randint(0, len(w))  # parts overlap by four words, so their shingles are those of the whole
-        a, b = (w[: cut + 4], w[cut:]) if len(w) >= 5 and cut <= len(w) - 5 else (w, w)
+        a, b = (w[: cut + 4], w[cut:]) if 1 <= cut <= len(w) - 5 else (w, w)
         rows.append((k, " ".join(w), " ".join(a), " ".join(b)))
     table = spark.createDataFrame(rows, "k int, whole string, a string, b string").select("k", "a", *[fingerprint.sketch(F.col(c)).alias(f"s{c[0]}") for c in ("whole", "a", "b")], F.col("b"))
     table = table.select("k", F.col("sw").alias("whole"), "sa", "sb", fingerprint.merge(F.col("sa"), F.col("sb")).alias("both"))
@@ -136,6 +136,10 @@ def test_url_filter_decides_as_of_the_fetch(spark):
             return "allow"
         return "block" if blocked and (host == "b.com" or host.endswith(".b.com")) else "none"
 
+    long = ["http://b.com/" + "s/" * 20_000, "http://b.com/ok/" + "s/" * 20_000, "http://" + "a." * 5_000 + "b.com/", "http://" + "a." * 5_000 + "x.b.com/ok/y"]
+    deep = spark.createDataFrame([(900 + i, u, day(9), "e") for i, u in enumerate(long)], captures.schema)
+    assert [r.decision for r in url_filter.filter_urls(deep, entries).orderBy("page_id").collect()] == ["block", "allow", "block", "allow"]
+    assert url_filter.reach(entries) == (3, 1)
     got = url_filter.filter_urls(captures, entries).collect()
     assert len(got) == len(set(r[:3] for r in rows))
     for r in got:

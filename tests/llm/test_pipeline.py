@@ -1,12 +1,14 @@
 """The pipeline, stage by stage, against brute force; and the queries over whole tables."""
 
 import math
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import mixing, queries
-from tests.llm.helpers import corpus, words
+from tests.llm.helpers import SCHEMA, corpus, words
 from tests.llm.test_dedup import grouped, removed
 from tests.llm.test_native import like, sketch
 
@@ -45,8 +47,11 @@ def test_each_stage_equals_brute_force(stages):
 def test_mixed_rows_are_written_in_order(spark, stages):
     folder, out = stages
     rows = {r.doc_id: (r.mix_slot, r.mix_start) for r in mixing.schedule(spark.read.parquet(f"{folder}/substring_dedup"), queries.WEIGHTS).collect()}
-    order = [rows[r.doc_id] for r in out[4]]
-    assert order == sorted(order) or len(order) == len(rows)
+    files = {}
+    for r in spark.read.parquet(f"{folder}/mixing").select("doc_id", F.input_file_name().alias("file")).collect():
+        files.setdefault(r.file, []).append(rows[r.doc_id])
+    order = [x for _, own in sorted(files.items()) for x in own]  # a file a range, numbered in order
+    assert order == sorted(order) and len(order) == len(rows) == len(out[4]) and len(files) > 2
 
 
 def test_sequences_lie_in_ranges_of_the_mix(spark, stages):
@@ -82,4 +87,21 @@ def test_queries_equal_brute_force(spark):
     got = {r.doc_id: r for r in queries.QUERIES["op5_fingerprints"](spark, SF).collect()}
     for a, b in zip(order[:60], order[1:], strict=False):
         assert math.isclose(got[a.doc_id].near_next, like(sketch(a.text), sketch(b.text)))
-        assert got[a.doc_id].n_chars == len(a.text) and len(words(a.text)) >= 0
+        assert got[a.doc_id].n_chars == len(a.text) and (got[a.doc_id].fingerprint == "") == (not words(a.text))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[:3] == ["doc_id", "start", "length"]
+
+
+def test_pipeline_of_repeated_rows(spark, tmp_path):
+    """Every text that is kept is kept once, whatever ids repeat, and no text of an id is lost for another's sake."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one, "en", "src0", 9), (1, one, "en", "src0", 9), (2, one, "de", "src1", 9), (2, two, "de", "src1", 9), (2, three, "de", None, None), (None, "null id", "en", "src0", 1), (None, "null id", "en", "src0", 1), (7, None, None, None, None), (7, None, None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = Counter([1, 2, 2, None, None])
+    assert Counter(r.doc_id for r in got) == want and all(r.start == 0 and r.length == r.doc_tokens for r in got)
+    assert len({r.ids_crc32 for r in got if r.doc_id is not None}) == 3
