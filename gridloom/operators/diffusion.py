@@ -111,9 +111,10 @@ def zero_noise(cond: Column, x: Column, row: str = "s") -> Column:
 EXPRESSIONS = {"oracle": oracle_noise, "zero": zero_noise}
 
 
-def initial_state(pixels: DataFrame, seed: int = 0) -> DataFrame:
-    """c, y, x, v: keyed standard normal noise for every pixel."""
-    return pixels.select("c", "y", "x", gaussian(F.col("c"), F.col("y"), F.col("x"), seed=seed).alias("v"))
+def initial_state(pixels: DataFrame, seed: int = 0, carry: bool = False) -> DataFrame:
+    """c, y, x, v: keyed standard normal noise for every pixel; with `carry` also cond, the pixel's own value."""
+    noise = gaussian(F.col("c"), F.col("y"), F.col("x"), seed=seed).alias("v")
+    return pixels.select("c", "y", "x", noise, *([F.col("v").alias("cond")] if carry else []))
 
 
 def training_pairs(samples: DataFrame, steps: DataFrame, batch: Column, seed: int = 0) -> DataFrame:

@@ -18,15 +18,20 @@ def geometry_maps(covered: DataFrame) -> DataFrame:
     return covered.groupBy("y", "x").agg(F.sum("w").alias("wsum"), F.sum(F.col("w") * F.col("w")).alias("w2sum"))
 
 
-def fuse_average(parts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def _carried(carry: tuple[str, ...]) -> list:
+    """Columns that are the same in all contributions of a pixel, such as the condition."""
+    return [F.max(c).alias(c) for c in carry]
+
+
+def fuse_average(parts: DataFrame, keys: tuple[str, ...] = KEYS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Weighted average of mu + n."""
-    return parts.groupBy(*keys).agg((F.sum(F.col("w") * (F.col("mu") + F.col("n"))) / F.sum("w")).alias("v"))
+    return parts.groupBy(*keys).agg((F.sum(F.col("w") * (F.col("mu") + F.col("n"))) / F.sum("w")).alias("v"), *_carried(carry))
 
 
-def fuse_variance_preserving(parts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def fuse_variance_preserving(parts: DataFrame, keys: tuple[str, ...] = KEYS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Weighted average of mu, and noise scaled so that independent unit noise keeps unit variance."""
     w = F.col("w")
-    return parts.groupBy(*keys).agg((F.sum(w * F.col("mu")) / F.sum(w) + F.sum(w * F.col("n")) / F.sqrt(F.sum(w * w))).alias("v"))
+    return parts.groupBy(*keys).agg((F.sum(w * F.col("mu")) / F.sum(w) + F.sum(w * F.col("n")) / F.sqrt(F.sum(w * w))).alias("v"), *_carried(carry))
 
 
 def fuse_with_maps(parts: DataFrame, maps: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

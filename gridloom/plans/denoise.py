@@ -3,6 +3,8 @@
 One step is one plan: pixels are expanded into the tiles that cover them (arithmetic, no join), the
 predictor gives mean and noise of each, and one aggregation fuses them. A step reads the fused state
 of the one before, so the loop is on the driver; snapshots cut the lineage and make a run resumable.
+The rows of the state carry the condition, so the scene is read once, not once a step; and as a step
+groups by the keys by which its input is dealt already, only the first step after a snapshot exchanges rows.
 """
 
 from __future__ import annotations
@@ -37,16 +39,21 @@ def normalised(pixels: DataFrame, bands: tuple[int, ...], norm_range: tuple[floa
     return own.crossJoin(F.broadcast(ends)).withColumn("v", signed_unit(F.col("v"), F.col("lo"), F.col("hi"))).drop("lo", "hi")  # ends: one row
 
 
-def joint_step(state: DataFrame, scene: DataFrame, steps: DataFrame, t: int, shape: tuple[int, int], config: InferConfig) -> DataFrame:
-    """The state (c, y, x, v) after step t. The predictor is an expression of condition and state."""
-    own = state.withColumnRenamed("v", "x_t").join(scene.withColumnRenamed("v", "cond"), ["c", "y", "x"])
-    tiles = covered(own, *shape, config.patch_size, config.stride).withColumn("t", F.lit(t))
+def with_condition(state: DataFrame, scene: DataFrame | None) -> DataFrame:
+    """The state (c, y, x, v) with the scene's value as cond; as it is, if it has one."""
+    return state if "cond" in state.columns else state.join(scene.withColumnRenamed("v", "cond"), ["c", "y", "x"])
+
+
+def joint_step(state: DataFrame, scene: DataFrame | None, steps: DataFrame, t: int, shape: tuple[int, int], config: InferConfig) -> DataFrame:
+    """The state (c, y, x, v, and cond if it came with it) after step t. The predictor is an expression of condition and state."""
+    carry = ("cond",) if "cond" in state.columns else ()
+    tiles = covered(with_condition(state, scene).withColumnRenamed("v", "x_t"), *shape, config.patch_size, config.stride).withColumn("t", F.lit(t))
     # x is the column's place on the grid and, in a reverse step, the state; they are told apart here
     tiles = tiles.withColumnRenamed("x", "gx").withColumnRenamed("x_t", "x")
     z = gaussian(F.col("c"), F.col("y"), F.col("gx"), F.col("h0") * 65537 + F.col("w0"), seed=config.seed + 7919 * (t + 1))
     parts = reverse_step(tiles, steps.where(F.col("t") == t), EXPRESSIONS[config.predictor](F.col("r.cond"), F.col("r.x")), z)
-    parts = parts.select("c", "y", F.col("gx").alias("x"), "w", "mu", "n")
-    return FUSIONS[config.fusion](parts)
+    parts = parts.select("c", "y", F.col("gx").alias("x"), "w", "mu", "n", *carry)
+    return FUSIONS[config.fusion](parts, carry=carry)
 
 
 def is_saved(t: Column | int, every: int) -> Column | bool:
@@ -62,11 +69,12 @@ def stored_maps(spark: SparkSession, root: str, shape: tuple[int, int], size: in
     return cached(spark, root, about, lambda: geometry_maps(covered(grid, h, w, size, stride)))
 
 
-def network_step(state: DataFrame, scene: DataFrame, row: dict, shape: tuple[int, int], config: InferConfig, predict) -> DataFrame:
+def network_step(state: DataFrame, scene: DataFrame | None, row: dict, shape: tuple[int, int], config: InferConfig, predict) -> DataFrame:
     """The state after the step of the schedule's line `row`, by any predictor of arrays: predict(cond, x, level)."""
+    carry = ("cond",) if "cond" in state.columns else ()
     tiles = tile_rows(state, scene, shape, config.patch_size, config.stride)
-    parts = tile_step(tiles, row, predict, sorted(config.bands), config.patch_size, config.seed + 7919 * (row["t"] + 1))
-    return FUSIONS[config.fusion](parts)
+    parts = tile_step(tiles, row, predict, sorted(config.bands), config.patch_size, config.seed + 7919 * (row["t"] + 1), carry)
+    return FUSIONS[config.fusion](parts, carry=carry)
 
 
 def predictor_of(spark, weights):
@@ -96,20 +104,20 @@ def denoise(pixels: DataFrame, config: InferConfig, folder: str, stop_after: int
     store = Snapshots(spark, folder)
     store.describe({"config": config, "shape": shape})
     done = store.committed()
-    now = store.read(done[0]) if done else store.write(initial_state(scene, config.seed), config.steps)
+    now = store.read(done[0]) if done else store.write(initial_state(scene, config.seed, carry=True), config.steps)
     at = done[0] if done else config.steps
     held = at
     for count, t in enumerate(range(at - 1, -1, -1), 1):
-        now = network_step(now, scene, lines[t], shape, config, predict) if config.predictor == "network" else joint_step(now, scene, steps, t, shape, config)
+        now = network_step(now, None, lines[t], shape, config, predict) if config.predictor == "network" else joint_step(now, None, steps, t, shape, config)
         if is_saved(t, config.save_every) or (at - t) % 8 == 0 or count == stop_after:  # lineage never grows beyond eight steps
             now = store.write(now, t)
             store.drop(held)
             held = t
             if saved is not None and is_saved(t, config.save_every):
-                saved(now, t)
+                saved(now.drop("cond"), t)
         if count == stop_after:
             break
-    return now
+    return now.drop("cond")
 
 
 def as_bytes(state: DataFrame) -> DataFrame:
@@ -117,18 +125,18 @@ def as_bytes(state: DataFrame) -> DataFrame:
     return state.withColumn("v", byte_of_signed(F.col("v")))
 
 
-def tile_rows(state: DataFrame, scene: DataFrame, shape: tuple[int, int], size: int, stride: int) -> DataFrame:
+def tile_rows(state: DataFrame, scene: DataFrame | None, shape: tuple[int, int], size: int, stride: int) -> DataFrame:
     """The second layout: a row a tile (h0, w0) with arrays x and cond in order of band, row and column.
 
     A tile holds a fixed number of pixels, so what is gathered has a bound.
     """
-    own = state.withColumnRenamed("v", "x_t").join(scene.withColumnRenamed("v", "cond"), ["c", "y", "x"])
+    own = with_condition(state, scene).withColumnRenamed("v", "x_t")
     cells = covered(own, *shape, size, stride).groupBy("h0", "w0").agg(F.array_sort(F.collect_list(F.struct("c", "i", "j", "x_t", "cond"))).alias("cells"))
     return cells.select("h0", "w0", F.col("cells.x_t").alias("x"), F.col("cells.cond").alias("cond"))
 
 
-def tile_step(tiles: DataFrame, row: dict, predict, bands: list[int], size: int, seed: int = 0) -> DataFrame:
-    """Contributions (c, y, x, w, mu, n) of tile rows by any predictor: predict(cond, x, level) on (bands, size, size) arrays.
+def tile_step(tiles: DataFrame, row: dict, predict, bands: list[int], size: int, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Contributions (c, y, x, w, mu, n, and cond if it is to be carried) of tile rows by any predictor: predict(cond, x, level) on (bands, size, size) arrays.
 
     row is the step's line of the schedule. Noise is keyed by tile and step, so a task that is run again
     gives the same rows.
@@ -146,9 +154,9 @@ def tile_step(tiles: DataFrame, row: dict, predict, bands: list[int], size: int,
                 mu = row["coef1"] * x0 + row["coef2"] * x
                 z = np.random.default_rng([seed, row["t"], int(h0), int(w0)]).standard_normal(x.shape)
                 n = z * np.exp(row["post_logvar"] / 2) if row["t"] else np.zeros_like(z)
-                yield pd.DataFrame({"c": np.repeat(bands, size * size).astype(np.int32), "y": np.tile((h0 + i).ravel(), len(bands)).astype(np.int32), "x": np.tile((w0 + j).ravel(), len(bands)).astype(np.int32), "w": np.tile(weight.ravel(), len(bands)), "mu": mu.ravel(), "n": n.ravel()})
+                yield pd.DataFrame({"c": np.repeat(bands, size * size).astype(np.int32), "y": np.tile((h0 + i).ravel(), len(bands)).astype(np.int32), "x": np.tile((w0 + j).ravel(), len(bands)).astype(np.int32), "w": np.tile(weight.ravel(), len(bands)), "mu": mu.ravel(), "n": n.ravel()} | {k: cond.ravel() for k in carry})
 
-    return tiles.mapInPandas(rows, "c int, y int, x int, w double, mu double, n double")
+    return tiles.mapInPandas(rows, "c int, y int, x int, w double, mu double, n double" + "".join(f", {k} double" for k in carry))
 
 
 def sample_chain(samples: DataFrame, steps: DataFrame, predict, shape: tuple[int, int, int], seed: int = 0) -> DataFrame:

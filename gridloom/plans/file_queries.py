@@ -185,12 +185,12 @@ def stored_maps(spark, sf_dir):
     return Q._rounded(denoise.stored_maps(spark, at, dims, Q.TILE, Q.STRIDE), "wsum", "w2sum")
 
 
-@query("sc12_resumed_chain", f"WITH {Q._UNIT} SELECT c, y, x, {Q._r()} FROM unit")
+@query("sc12_resumed_chain", f"WITH {Q._UNIT} SELECT c, y, x, round(v, 4) AS v FROM unit")
 def resumed_chain(spark, sf_dir):
     """A chain of four steps, interrupted after two, and taken up from what was committed; it ends at the condition."""
     config, at, scene = InferConfig(patch_size=Q.TILE, stride=Q.STRIDE, bands=(1, 2), seed=5, steps=4, save_every=2), folder(spark), Q.scene(spark, sf_dir)
     denoise.denoise(scene, config, f"{at}/state", stop_after=2)
-    return Q._rounded(denoise.denoise(scene, config, f"{at}/state"), "v")
+    return denoise.denoise(scene, config, f"{at}/state").withColumn("v", F.round("v", 4))
 
 
 # --- names, settings, systems -----------------------------------------------------------------------------
@@ -279,13 +279,13 @@ def _strips(spark, sf_dir):
     return denoise.normalised(Q.scene(spark, sf_dir), (1, 2)).where("x < 8").select(F.col("y").cast("long").alias("sample"), "c", F.col("x").alias("j"), "v")
 
 
-@query("df8_patch_chain", f"WITH {Q._UNIT}, {_STRIP} SELECT CAST(sample AS BIGINT) AS sample, c, j, {Q._r()} FROM strip")
+@query("df8_patch_chain", f"WITH {Q._UNIT}, {_STRIP} SELECT CAST(sample AS BIGINT) AS sample, c, j, round(v, 4) AS v FROM strip")
 def patch_chain(spark, sf_dir):
     """The whole chain of every row as a patch of its own, by the closed-form predictor: it ends at the condition."""
     rows = _strips(spark, sf_dir).groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("c", "j", "v"))).alias("cells"))
     made = denoise.sample_chain(rows.select("sample", F.col("cells.v").alias("cond")), D.schedule(spark, 6), _oracle(spark, 6), (2, 1, 8), 3)
     out = made.select("sample", F.posexplode("made").alias("k", "v"))
-    return out.select("sample", (F.expr("k div 8") + 1).cast("int").alias("c"), F.expr("k % 8").alias("j"), F.round("v", 6).alias("v"))
+    return out.select("sample", (F.expr("k div 8") + 1).cast("int").alias("c"), F.expr("k % 8").alias("j"), F.round("v", 4).alias("v"))
 
 
 @query("df13_validation", f"WITH {Q._UNIT}, {_STRIP}, first AS (SELECT * FROM strip WHERE sample < 8) SELECT round(avg(abs(v - v / 2)), 6) AS loss, count(*) AS pixels, count(DISTINCT sample) AS samples FROM first")

@@ -574,10 +574,10 @@ _INFER = InferConfig(patch_size=TILE, stride=STRIDE, bands=(1, 2), seed=5, steps
 
 def _joint(spark, sf_dir, t_first: int, count: int) -> DataFrame:
     s = denoise.normalised(scene(spark, sf_dir), _INFER.bands)
-    steps, dims, now = D.schedule(spark, STEPS), shape(spark, sf_dir), D.initial_state(s, _INFER.seed)
+    steps, dims, now = D.schedule(spark, STEPS), shape(spark, sf_dir), D.initial_state(s, _INFER.seed, carry=True)
     for t in range(t_first, t_first - count, -1):
-        now = denoise.joint_step(now, s, steps, t, dims, _INFER)
-    return _rounded(now, "v")
+        now = denoise.joint_step(now, None, steps, t, dims, _INFER)
+    return _rounded(now.drop("cond"), "v")
 
 
 @query("df9_joint_step", f"WITH {_chain(1999, 1, 5)} SELECT c, y, x, round(s, 6) AS v FROM state1")
