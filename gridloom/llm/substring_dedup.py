@@ -107,7 +107,7 @@ def pressed(rows: DataFrame) -> DataFrame:
 def _anchor_rows(window: int, anchor: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1 << 20):
                 w = words_of(part.column(1))
                 h, _, _, doc = segments_of(w.hashes, w.first, window, anchor)
                 nth = np.arange(len(h)) - np.searchsorted(doc, doc)
@@ -122,7 +122,7 @@ def _segment_rows(window: int, anchor: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 20):
+            for part in slices(batch, 1 << 19):
                 w = words_of(_opened(part.column(2)))
                 h, at, n, doc = segments_of(w.hashes, w.first, window, anchor)
                 from_ = np.searchsorted(doc, np.arange(part.num_rows))
@@ -216,7 +216,7 @@ def _kept(window: int, digest: bool, out: list[str]):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 21):
+            for part in slices(batch, 1 << 19):
                 text, marks, whole = _opened(part.column(part.schema.get_field_index("text"))), part.column(part.schema.get_field_index("__marks")), part.column(part.schema.get_field_index("__whole"))
                 words, removed, made = [], [], []
                 for raw, at, all_ in zip(text, marks, whole.to_pylist(), strict=True):
