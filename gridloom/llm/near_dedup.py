@@ -258,8 +258,9 @@ def _cut(rows: DataFrame, block: int, room: int, name: str) -> DataFrame:
 def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch: Scratch, shingle: int, link, block: int, room: int) -> DataFrame:
     """Links (u, v) between classes of one cluster; they connect what all links of a cluster would."""
     members = clusters.join(classes.select("cid", "doc", "c1", "c2", "n_shingles"), "cid")
-    # texts meet no more than the ids of members; which of an id's texts has a member's class is told after
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(members.select("doc"), "doc", "left_semi").select("text")
+    # texts meet no more than the ids of members, in a table whose size is known, so that a small one is broadcast; which of an id's texts has a member's class is told after
+    ids = scratch.keep(members.select("doc").distinct(), "ids")
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(ids, "doc", "left_semi").select("text")
     sets = texts.mapInArrow(released(_full_sets(shingle)), "c1 long, c2 long, set binary").dropDuplicates(["c1", "c2"])
     sets = sets.join(members.select("cid", "c1", "c2"), ["c1", "c2"]).select("cid", "set")
     members = scratch.keep(_cut(members.select("cluster", "cid", "n_shingles"), block, room, "block"), "members")
