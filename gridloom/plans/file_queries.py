@@ -327,3 +327,87 @@ def tiles_by_band(spark, sf_dir):
 def touching_masks(spark, sf_dir):
     hit = spatial.meeting(spatial.with_extent(Q.headers(spark, sf_dir)), Q.masks(spark, sf_dir))
     return hit.groupBy("path").agg(F.count("*").alias("masks"), F.sum(F.when(spatial.shared_area() > 0, 1).otherwise(0)).alias("overlapping"))
+
+
+# --- whole commands ---------------------------------------------------------------------------------------
+
+_QUARTER = f"""{Q._BYTE}, {Q._area("ax", "w", "(w // 4)")}, {Q._area("ay", "h", "(h // 4)")}, {Q._cubic("ux", "(w // 4)", "w")}, {Q._cubic("uy", "(h // 4)", "h")},
+{Q._two("low_", "bpix", "ax", "ay", _HELD)},
+{Q._two("sr", "low_", "ux", "uy", _HELD)}"""
+
+
+def _commands():
+    from gridloom.plans import commands
+
+    return commands
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return _commands().degrade_scene(spark, stored_scene(spark, sf_dir), folder(spark), 4)
+
+
+def _raster(spark: SparkSession, path: str) -> DataFrame:
+    return tiff.read_window(spark, path).select("c", "y", "x", "v")
+
+
+@query("sk7_degraded_pair", f"WITH {_QUARTER} SELECT 'hr' AS kind, c, y, x, v FROM bpix UNION ALL SELECT 'sr', c, y, x, v FROM sr")
+def degraded_pair(spark, sf_dir):
+    rows = [_raster(spark, p).select(F.lit(kind).alias("kind"), "c", "y", "x", "v") for kind, p in zip(("hr", "sr"), _pair(spark, sf_dir), strict=True)]
+    return rows[0].union(rows[1])
+
+
+@query("sk8_projected_raster", f"""WITH {_QUARTER}, two AS (SELECT sr.c, sr.y, sr.x, sr.v AS a, bpix.v AS b FROM sr JOIN bpix ON sr.c = bpix.c AND sr.y = bpix.y AND sr.x = bpix.x), gap AS (SELECT c, y, x, b - a AS v FROM two),
+{Q._two("glow", "gap", "ax", "ay")},
+{Q._two("gup", "glow", "ux", "uy")} SELECT two.c, two.y, two.x, round_even(least(greatest(a + gup.v, 0.0), 255.0), 0) AS v FROM two JOIN gup ON two.c = gup.c AND two.y = gup.y AND two.x = gup.x""")
+def projected_raster(spark, sf_dir):
+    hr, sr = _pair(spark, sf_dir)
+    out = f"{folder(spark)}/projected.tif"
+    _commands().project(spark, sr, hr, out, 4)
+    return _raster(spark, out)
+
+
+@query("ap6_inferred_raster", f"WITH {Q._BYTE} SELECT c, y, x, v FROM bpix WHERE c <= 2")
+def inferred_raster(spark, sf_dir):
+    """A scene denoised from file to file by the closed-form predictor, over a given range: it ends at its input."""
+    config = InferConfig(patch_size=Q.TILE, stride=Q.STRIDE, bands=(1, 2), steps=3, save_every=2, norm_range=(0.0, 255.0))
+    return _raster(spark, _commands().infer(spark, stored_scene(spark, sf_dir), f"{folder(spark)}/out.tif", config))
+
+
+@query("ap11_demo_scene", f"{Q._SYNTHETIC} SELECT CAST(own.c AS INT) AS c, own.y, own.x, round_even(least(greatest((0.75 * shape.v + 0.25 * own.v) * [1.00, 0.92, 0.78][own.c] * 255, 20.0), 235.0), 0) AS v FROM own JOIN shape ON own.y = shape.y AND own.x = shape.x")
+def demo_scene(spark, sf_dir):
+    at = folder(spark)
+    _commands().demo(spark, at, 64, 4)
+    return _raster(spark, f"{at}/scene.tif")
+
+
+@query("rt11_image_grid", f"""WITH {Q._PIX}, im AS (SELECT a.y // 16 AS sample, a.y % 16 AS i, a.x AS j, a.v AS lr, b.v AS made, d.v AS hr FROM pix a JOIN pix b ON a.y = b.y AND a.x = b.x AND b.c = 2 JOIN pix d ON a.y = d.y AND a.x = d.x AND d.c = 3 WHERE a.c = 1 AND a.x < 16 AND a.y < 128),
+cs AS (SELECT sample * 18 + 2 + i AS y, col * 18 + 2 + j AS x, u FROM (SELECT sample, i, j, unnest([0, 1, 2]) AS col, unnest([lr, made, hr]) AS u FROM im)),
+page AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(146) a(y), range(56) b(x))
+SELECT 1 AS c, page.y, page.x, CAST(CASE WHEN u IS NULL THEN 0 ELSE round_even((greatest(-1, least(1, u)) + 1) / 2 * 255, 0) END AS INT) AS v FROM page LEFT JOIN cs ON page.y = cs.y AND page.x = cs.x""")
+def image_grid(spark, sf_dir):
+    """The grid of the first eight samples as an image file; its size is its feature."""
+    s, out = Q.scene(spark, sf_dir).where("x < 16 and y < 128"), f"{folder(spark)}/grid.png"
+    im = s.groupBy("y", F.col("x").alias("j")).agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(n) for c, n in ((1, "lr"), (2, "made"), (3, "hr"))])
+    im = im.select(F.expr("cast(y div 16 as int)").alias("sample"), F.lit(1).alias("c"), F.expr("y % 16").alias("i"), "j", "lr", "made", "hr")
+    tiff.write_png(dataset.comparison_grid(im, 16).withColumn("v", F.col("v") * 255), out, 8 * 18 + 2, 3 * 18 + 2)
+    return spark.createDataFrame(tiff.png_pixels(open(out, "rb").read()), "c int, y int, x int, v int")
+
+
+_MOVED = "w * (1 - 0.001) - 0.1 * g / (abs(g) + 1e-8)"
+
+
+@query("rt13_resumed_optimiser", f"""WITH w0 AS (SELECT unnest({list(training.FEATURES)}) AS name, unnest([(c_custkey % 7 - 3.0) / 4 + 0.1 FOR c_custkey IN range(6)]) AS g, 0.0::DOUBLE AS w),
+w1 AS (SELECT name, g, {_MOVED} AS w FROM w0), w2 AS (SELECT name, g, {_MOVED} AS w FROM w1), w3 AS (SELECT name, g, {_MOVED} AS w FROM w2) SELECT name, round(w, 8) AS weight, 3 AS steps FROM w3""")
+def resumed_optimiser(spark, sf_dir):
+    """Three steps of one gradient, each from what the last one left in the newest checkpoint."""
+    import numpy as np
+
+    from gridloom.sources.store import Snapshots
+
+    store, g = Snapshots(spark, f"{folder(spark)}/checkpoints", "epoch"), np.array([(k % 7 - 3.0) / 4 + 0.1 for k in range(len(training.FEATURES))])
+    for epoch in range(3):
+        done = store.committed()
+        own = training.Optimiser.of(store.read(done[-1])) if done else training.Optimiser()
+        own.step(g, 0.1, 0.01)
+        store.write(own.table(spark), epoch)
+    return store.read(store.committed()[-1]).select("name", F.round("weight", 8).alias("weight"), "steps")
