@@ -331,14 +331,13 @@ def keep_one(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, percent:
     row without words stays if no other of its doc_id does, of several the greatest. Rows without doc_id all stay.
     """
     decided = scratch.keep(_grouped(docs, scratch, shingle, percent, slots, rows, margin, block, room, bucket).where("doc_id is not null"), "decided")
-    # these tables are written, so that their size is known and a small one is broadcast
-    gone = scratch.keep(decided.where("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone")
     again = scratch.keep(decided.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    left = keyed.join(gone.select("doc_id", F.col("text_key").alias("__key")), ["doc_id", "__key"], "left_anti")
-    once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
+    # texts meet ids alone, in tables that are written, so that their size is known and a small one is broadcast
+    apart = scratch.keep(decided.where("doc_id <> component_id").select("doc_id").union(again).distinct(), "apart")
+    once = docs.join(apart, "doc_id", "left_anti").select(*docs.columns)
     labels = decided.join(again, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id", "text_key").agg(F.max("label").alias("__label")).withColumnRenamed("text_key", "__key")
-    most = left.join(again, "doc_id", "left_semi").join(labels, ["doc_id", "__key"]).groupBy("doc_id", "__label").agg(F.max(F.struct(*docs.columns)).alias("row"))
+    repeated = docs.join(again, "doc_id", "left_semi").withColumn("__key", F.xxhash64("text"))
+    most = repeated.join(labels, ["doc_id", "__key"]).groupBy("doc_id", "__label").agg(F.max(F.struct(*docs.columns)).alias("row"))
     worded = labels.where("__label is not null").select("doc_id").distinct()
     bare = most.where("__label is null").join(worded, "doc_id", "left_anti")
     return once.unionByName(most.where("__label is not null").select("row.*")).unionByName(bare.select("row.*"))
