@@ -141,6 +141,14 @@ def test_fusion_keeps_variance_and_degrades_to_the_average(spark):
     assert np.allclose(image(fusion.fuse_with_maps(noisy, fusion.geometry_maps(grid)), 1, 45, 45), image(fusion.fuse_variance_preserving(noisy), 1, 45, 45))
 
 
+def test_maps_of_the_geometry_are_not_broadcast(spark):
+    parts = tiling.covered(pixels(spark, 20, 20), 20, 20, 8, 6).select("c", "y", "x", "w", F.col("v").alias("mu"), (F.col("v") / 10).alias("n"))
+    joined = fusion.fuse_with_maps(parts, fusion.geometry_maps(parts))
+    assert np.allclose(image(joined, 1, 20, 20), image(fusion.fuse_variance_preserving(parts), 1, 20, 20))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_keyed_noise_is_normal_and_independent_of_partitions(spark):
     rows = spark.range(20000).select(F.col("id"), C.gaussian(F.col("id") % 100, F.col("id"), F.lit(3)).alias("z"))
     z = np.array([r.z for r in rows.orderBy("id").collect()])
