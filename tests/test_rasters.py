@@ -156,6 +156,31 @@ def test_keyed_noise_is_normal_and_independent_of_partitions(spark):
     assert (z == again).all() and abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03 and abs(np.corrcoef(z[1:], z[:-1])[0, 1]) < 0.03
 
 
+def test_noise_of_tall_scenes_does_not_overflow(spark):
+    def uniform(total):
+        value = total % C.NOISE_MODULUS
+        for add in C.NOISE_ROUNDS:
+            value = (value * C.NOISE_STEP + add) % C.NOISE_MODULUS
+            value = value * (value + add) % C.NOISE_MODULUS
+        return (value + 0.5) / C.NOISE_MODULUS
+
+    def normal(keys, seed):
+        total = seed + 1 + sum(k * m for k, m in zip(keys, C.NOISE_KEYS, strict=True))
+        return math.sqrt(-2 * math.log(uniform(total))) * math.cos(2 * math.pi * uniform(total + 1000003))
+
+    places = [(39984, 0), (2**31 - 1, 2**31 - 1), (3, 4)]
+    rows = spark.createDataFrame([(2, 40000, 9, *p) for p in places], "c int, y int, x int, h0 int, w0 int")
+    got = rows.select(C.gaussian(F.col("c"), F.col("y"), F.col("x"), C.place_key(F.col("h0"), F.col("w0"), 65537), seed=5).alias("z")).collect()
+    assert np.allclose([r.z for r in got], [normal((2, 40000, 9, h * 65537 + w), 5) for h, w in places])
+    # the last row of a scene of 40,000 rows lies in one tile, (39984, 0)
+    steps, config = diffusion.schedule(spark, 4), InferConfig(patch_size=16, stride=12, bands=(1,), seed=5, steps=4)
+    line = steps.where("t = 2").first()
+    state = spark.createDataFrame([(1, 39999, x, 0.1 * x, 0.5) for x in range(16)], "c int, y int, x int, v double, cond double")
+    for r in denoise.joint_step(state, None, steps, 2, (40000, 16), config).collect():
+        z = normal((1, 39999, r.x, 39984 * 65537), 5 + 7919 * 3)
+        assert math.isclose(r.v, line.coef1 * 0.5 + line.coef2 * 0.1 * r.x + z * math.exp(line.post_logvar / 2), abs_tol=1e-9)
+
+
 def test_schedules(spark):
     wide = {r.t: r for r in diffusion.schedule(spark).collect()}
     assert len(wide) == 2000 and math.isclose(wide[1999].acp, 4.386e-05, rel_tol=1e-3) and wide[0].post_var == 0 and math.isclose(wide[0].coef1, 1)
