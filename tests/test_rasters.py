@@ -119,6 +119,16 @@ def test_resampling_keeps_constants_and_block_means(spark):
     assert np.allclose(total, 1)
 
 
+def test_large_weight_tables_and_images_are_not_broadcast(spark, monkeypatch):
+    sr, obs = pixels(spark, 24, 16), pixels(spark, 24, 16, lambda c, y, x: (y * 5 + x * 11) % 60)
+    want = image(resample.low_frequency_projection(sr, obs, (24, 16), 4), 1, 24, 16)
+    monkeypatch.setattr(resample, "BROADCAST_ROWS", 10)
+    rows = resample.low_frequency_projection(sr, obs, (24, 16), 4)
+    assert np.allclose(image(rows, 1, 24, 16), want)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_bytes_are_rounded_half_to_even(spark):
     row = spark.range(1).select(C.byte_of_signed(F.lit(0.0)).alias("a"), C.byte_of_signed(F.lit(-9.0)).alias("b"), C.byte_clip(F.lit(126.5)).alias("c"), C.byte_clip(F.lit(300.0)).alias("d"), C.signed_unit(F.lit(3.0), 3.0, 3.0).alias("e")).first()
     assert tuple(row) == (128, 0, 126, 255, 0.0)
