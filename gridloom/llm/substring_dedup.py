@@ -98,6 +98,17 @@ def _opened(column: pa.Array) -> pa.Array:
     return pa.array([None if x is None else press.decompress(x).decode() for x in column.to_pylist()], pa.string())
 
 
+def _pressed_slices(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose compressed texts open to about size bytes, one row at least: some texts shrink to a hundredth."""
+    texts = batch.column(batch.schema.get_field_index("text"))
+    ends = np.cumsum([0] + [zstandard.frame_content_size(x.as_py()) if x.is_valid else 0 for x in texts])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def pressed(rows: DataFrame) -> DataFrame:
     """rows with text as zstandard frames, about two fifths of its size."""
     schema = ", ".join(f"`{c}` {'binary' if c == 'text' else t}" for c, t in rows.dtypes)
@@ -122,7 +133,7 @@ def _segment_rows(window: int, anchor: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 19):
+            for part in _pressed_slices(batch):
                 w = words_of(_opened(part.column(2)))
                 h, at, n, doc = segments_of(w.hashes, w.first, window, anchor)
                 from_ = np.searchsorted(doc, np.arange(part.num_rows))
@@ -216,7 +227,7 @@ def _kept(window: int, digest: bool, out: list[str]):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 19):
+            for part in _pressed_slices(batch):
                 text, marks, whole = _opened(part.column(part.schema.get_field_index("text"))), part.column(part.schema.get_field_index("__marks")), part.column(part.schema.get_field_index("__whole"))
                 words, removed, made = [], [], []
                 for raw, at, all_ in zip(text, marks, whole.to_pylist(), strict=True):

@@ -148,3 +148,11 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
+
+
+def test_compressed_texts_are_cut_by_the_size_they_open_to():
+    texts = ["same line " * 20_000, None, ""] * 20
+    batch = next(substring_dedup._pressed(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    parts = list(substring_dedup._pressed_slices(batch))
+    opened = [substring_dedup._opened(p.column(0)).to_pylist() for p in parts]
+    assert sum(opened, []) == texts and max(sum(len(t or "") for t in x) for x in opened) <= 1 << 20
